@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from shoal.llm.common import table
 
 
@@ -11,6 +13,13 @@ def op1_mix_sources(spark, sf_dir):
     return mix_report(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_simhash_dedup(spark, sf_dir):
+    from shoal.llm.simhash import near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def queries():
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
