@@ -7,6 +7,12 @@ from pyspark.sql import functions as F
 from shoal.llm.common import table
 
 
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_mix_sources(spark, sf_dir):
     from shoal.llm.mixing import mix_report
 
@@ -20,6 +26,18 @@ def op3_simhash_dedup(spark, sf_dir):
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_bpe_round_trip(spark, sf_dir):
+    from shoal.llm.bpe import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+def op9_token_files(spark, sf_dir):
+    from shoal.llm.tokenfile import read_shards, write_shards
+
+    return read_shards(write_shards(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")))
+
+
 def queries():
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
