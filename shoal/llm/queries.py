@@ -19,6 +19,12 @@ def op1_mix_sources(spark, sf_dir):
     return mix_report(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_lm_scoring(spark, sf_dir):
+    from shoal.llm.ppm import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_simhash_dedup(spark, sf_dir):
     from shoal.llm.simhash import near_duplicates
 
