@@ -38,6 +38,12 @@ def op6_bpe_round_trip(spark, sf_dir):
     return round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op8_license_scan(spark, sf_dir):
+    from shoal.llm.licences import licence_report
+
+    return licence_report(table(spark, sf_dir, "documents"))
+
+
 def op9_token_files(spark, sf_dir):
     from shoal.llm.tokenfile import read_shards, write_shards
 
