@@ -32,12 +32,25 @@ def op3_simhash_dedup(spark, sf_dir):
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_toxicity(spark, sf_dir):
+    from shoal.llm.toxicity import score_toxicity
+
+    found = score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("_row.doc_id", F.element_at("p", 1).alias("p_dense"), F.element_at("p", 2).alias("p_toxic"), "toxic")
+
+
 def op6_bpe_round_trip(spark, sf_dir):
     from shoal.llm.bpe import round_trip
 
     return round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op7_quality(spark, sf_dir):
+    from shoal.llm.quality import score_quality
+
+    return score_quality(table(spark, sf_dir, "documents")).select("_row.doc_id", "votes", "weak", "score", "keep")
+
+
 def op8_license_scan(spark, sf_dir):
     from shoal.llm.licences import licence_report
 

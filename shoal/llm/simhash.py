@@ -5,10 +5,11 @@ fingerprints within ``bits``: bits // 2 + 1 segments. Each segment is indexed on
 that bit left out; fingerprints within reach of each other meet in one of these 64 keys by equality and are
 then verified.
 
-Components are exact, without all pairs of a key's group. First each fingerprint points to the smallest verified key
-minimum; pointers are followed to their roots. Then only pairs of different classes are verified: in each
-key, the members outside the class of the key's minimum against all members. A tight group of near copies is
-one class after the first step, so nothing of it is left for the second.
+Components are exact, without all pairs of a key's group. First each member of a key is verified against one pivot of the key,
+chosen by a hash of key and fingerprint, so that a group that shares many keys is linked through many pivots; these links
+give provisional classes. Then only pairs of different classes are verified: in each key that has several classes, the
+members outside its largest class against all members. A tight group of near copies is one class after the first
+step, so nothing of it is left for the second. A key of two members is settled by its minimum and maximum.
 
 Defined cases: null, empty or white-space text has fingerprint 0 and is linked like any other; repeated rows are
 kept, each with the same result; a null doc_id is never a component id unless all ids of the component are null;
@@ -108,24 +109,31 @@ def classes(prints: DataFrame, bits: int = 4) -> DataFrame:
     """fp, root: the class of every distinct fp of ``prints`` under links of at most ``bits`` differing bits."""
     if bits < 2:
         raise ValueError("from 2 bits on, segments that may differ by one are fewer than the bits")
+    spark = prints.sparkSession
     distinct = stash(prints.select("fp").distinct(), "distinct")
-    keyed = distinct.select("fp", F.explode(variants(F.col("fp"), bits)).alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("fp").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n")
-    members = stash(keyed.join(shared, "key"), "members")  # rows whose key has company
-    first = members.where((F.col("fp") != F.col("pivot")) & near(F.col("fp"), F.col("pivot"), bits)).groupBy("fp").agg(F.min("pivot").alias("up"))
-    up = stash(distinct.join(first, "fp", "left").select("fp", F.coalesce("up", "fp").alias("root")), "pointers")
-    roots = follow(up, "fp", "root")
+    spread = distinct.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    keyed = spread.select("fp", F.explode(variants(F.col("fp"), bits)).alias("key"))
+    found = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.min_by("fp", F.xxhash64("key", "fp")).alias("pivot"))
+    found = stash(found.where((F.col("n") > 2) | ((F.col("n") == 2) & near(F.col("lo"), F.col("hi"), bits))), "keys")
+    crowded = found.where("n > 2").select("key", "pivot")
+    members = stash(keyed.join(crowded, "key"), "members")
+    first = members.where((F.col("fp") != F.col("pivot")) & near(F.col("fp"), F.col("pivot"), bits)).select(F.col("fp").alias("a"), F.col("pivot").alias("b"))
+    roots = _relabel(distinct.select("fp", F.col("fp").alias("root")), components(first.unionByName(found.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b")))))
+    roots = stash(roots, "classes")
 
     # what the classes so far leave open: pairs of two classes that share a key
-    pivot_root = roots.select(F.col("fp").alias("pivot"), F.col("root").alias("pivot_root"))
-    apart = members.join(roots, "fp").join(pivot_root, "pivot")
-    apart = stash(apart.select("key", "fp", "root", (F.col("root") != F.col("pivot_root")).alias("outside")), "apart")
-    mixed = apart.where("outside").select("key", F.col("fp").alias("a_fp"), F.col("root").alias("a"))
-    links = mixed.join(apart.select("key", "fp", F.col("root").alias("b")), "key")
+    apart = stash(members.select("key", "fp").join(roots, "fp"), "apart")
+    main = apart.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", "n").alias("main"), F.count("*").alias("classes"))
+    mixed = stash(apart.join(main.where("classes > 1").select("key", "main"), "key"), "mixed")
+    outside = mixed.where(F.col("root") != F.col("main")).select("key", F.col("fp").alias("a_fp"), F.col("root").alias("a"))
+    links = outside.join(mixed.select("key", "fp", F.col("root").alias("b")), "key")
     links = links.where((F.col("a") != F.col("b")) & near(F.col("a_fp"), F.col("fp"), bits)).select("a", "b").distinct()
-    merged = components(stash(links, "links"))
-    merged = merged.select(F.col("node").alias("root"), F.col("root").alias("top"))
-    return roots.join(merged, "root", "left").select("fp", F.coalesce("top", "root").alias("root"))
+    return _relabel(roots, components(links))
+
+
+def _relabel(roots: DataFrame, merged: DataFrame) -> DataFrame:
+    top = merged.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    return roots.join(top, "root", "left").select("fp", F.coalesce("top", "root").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4, seed: int = 42) -> DataFrame:
