@@ -99,6 +99,8 @@ LABELLERS = ("length", "symbols", "cells", "shouts", "capitals", "repeats", "var
 #: What a labeller is taken to say before any document is seen, as shares of junk and good votes. Rows: good, junk documents. It weighs PRIOR of all.
 EXPECTED = np.array([[0.01, 0.0, 0.8], [0.25, 0.0, 0.3]])
 PRIOR = 0.1
+#: Share of good documents. Votes that are mostly of one side can't tell it, so it is given.
+GOOD_SHARE = 0.85
 
 
 def label_model(patterns: dict[str, int], rounds: int = 100) -> dict[str, float]:
@@ -118,9 +120,9 @@ def label_model(patterns: dict[str, int], rounds: int = 100) -> dict[str, float]
     weigh = PRIOR * n.sum()
     for _ in range(rounds):
         logs = []
-        for weight, expected in ((n * good, EXPECTED[0]), (n * (1 - good), EXPECTED[1])):
+        for weight, share, expected in ((n * good, GOOD_SHARE, EXPECTED[0]), (n * (1 - good), 1 - GOOD_SHARE, EXPECTED[1])):
             says = (np.einsum("p,plv->lv", weight, one_hot) + weigh * expected) / (weight.sum() + weigh)
-            logs.append(np.log((weight.sum() + 1) / (n.sum() + 2)) + np.einsum("plv,lv->p", cast, np.log(np.maximum(says, 1e-6))))
+            logs.append(np.log(share) + np.einsum("plv,lv->p", cast, np.log(np.maximum(says, 1e-6))))
         good = sigmoid(logs[0] - logs[1])
     return {p: float(x) for p, x in zip(patterns, good)}
 
