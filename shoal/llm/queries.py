@@ -32,6 +32,12 @@ def op3_simhash_dedup(spark, sf_dir):
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_exact_top_k(spark, sf_dir):
+    from shoal.llm.covertree import exact_top_k
+
+    return exact_top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op5_toxicity(spark, sf_dir):
     from shoal.llm.toxicity import score_toxicity
 
@@ -63,6 +69,12 @@ def op9_token_files(spark, sf_dir):
     return read_shards(write_shards(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")))
 
 
+def op10_learned_partitions(spark, sf_dir):
+    from shoal.llm.partitions import approximate_top_k
+
+    return approximate_top_k(table(spark, sf_dir, "embeddings"))
+
+
 def queries():
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
