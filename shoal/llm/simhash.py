@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from shoal.llm.common import stash, texts_of
+from shoal.llm.common import packed, stash, texts_of
 
 WIDTH = 64
 
@@ -53,14 +53,14 @@ def fingerprint(text: bytes, words: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of every row."""
+    """doc_id, h (a hash of the text) and fp (the fingerprint as a signed long) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = np.array([fingerprint(t, words, seed) for t in texts_of(batch)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, pa.int64())], ["doc_id", "h", "fp"])
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select("doc_id", F.xxhash64("text").alias("h"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, h long, fp long")
 
 
 def variants(fp: Column, bits: int) -> Column:
@@ -137,9 +137,18 @@ def _relabel(roots: DataFrame, merged: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4, seed: int = 42) -> DataFrame:
-    """doc_id, fp, component_id (the smallest doc_id of the component) of every row of ``docs`` (doc_id, text)."""
+    """doc_id, h, fp, class, component_id (the smallest doc_id of the class) of every row of ``docs`` (doc_id, text)."""
     prints = stash(fingerprints(docs, words, seed), "prints")
     root = stash(classes(prints, bits), "classes")
     least = prints.groupBy("fp").agg(F.min("doc_id").alias("doc_id")).join(root, "fp").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of_print = stash(root.join(least, "root").select("fp", "component_id"), "components")
-    return prints.join(of_print, "fp").select("doc_id", "fp", "component_id")
+    of_print = stash(root.join(least, "root").select("fp", F.col("root").alias("class"), "component_id"), "components")
+    return prints.join(of_print, "fp").select("doc_id", "h", "fp", "class", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """Rows of ``docs``, one of each class: that of the smallest doc_id, then of the smallest hash of the text; null doc_ids last."""
+    found = stash(near_duplicates(docs, **options), "near-duplicates")
+    stays = found.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("s")).select(F.col("s.doc_id").alias("_id"), F.col("s.h").alias("_h"))
+    rows = packed(docs, docs["doc_id"].alias("doc_id"), F.xxhash64(docs["text"]).alias("h"))
+    kept = rows.join(stays, rows["doc_id"].eqNullSafe(stays["_id"]) & (rows["h"] == stays["_h"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "h"]).select("_row.*")  # a row that is repeated whole stays once
