@@ -56,7 +56,7 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int, metric: str = "l2", ke
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "q": [], "vec_id": [], "v": []})
+            return pd.DataFrame({"query_id": [], "q": [], "vec_id": [], "v": []}, dtype=object)
         a, c = np.array(left["q_v"].tolist(), float), np.array(right["b_v"].tolist(), float)
         qi, bi = left["q_id"].to_numpy(), right["b_id"].to_numpy()
         d = kernel(a, c)
@@ -85,7 +85,7 @@ def range_search(queries: DataFrame, base: DataFrame, radius: float, metric: str
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "q": [], "vec_id": [], "v": []})
+            return pd.DataFrame({"query_id": [], "q": [], "vec_id": [], "v": []}, dtype=object)
         d = kernel(np.array(left["q_v"].tolist(), float), np.array(right["b_v"].tolist(), float))
         r, s = np.nonzero(d <= radius + TOLERANCE * (1 + abs(radius)))
         return pd.DataFrame({"query_id": left["q_id"].to_numpy()[r], "q": left["q_v"].to_numpy()[r], "vec_id": right["b_id"].to_numpy()[s], "v": right["b_v"].to_numpy()[s]})
