@@ -98,7 +98,7 @@ _UPPER = [bytes([b]) for b in range(65, 91)]
 LABELLERS = ("length", "symbols", "cells", "shouts", "capitals", "repeats", "variety", "plain")
 #: What a labeller is taken to say before any document is seen, as shares of junk and good votes. Rows: good, junk documents. It weighs PRIOR of all.
 EXPECTED = np.array([[0.01, 0.0, 0.8], [0.25, 0.0, 0.3]])
-PRIOR = 0.1
+PRIOR = 0.3
 #: Share of good documents. Votes that are mostly of one side can't tell it, so it is given.
 GOOD_SHARE = 0.85
 

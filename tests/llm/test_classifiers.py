@@ -29,7 +29,7 @@ def test_toxicity_on_documents_it_has_not_seen(labelled):
 
 
 def test_label_model_weighs_labellers():
-    post = label_model({"01": 200, "11": 0, "21": 700, "02": 5, "12": 95})
+    post = label_model({"01": 80, "11": 0, "21": 820, "02": 5, "12": 95})
     assert post["01"] < 0.5 < post["21"] and label_model({}) == {}
 
 
