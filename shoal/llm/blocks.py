@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows in a block, about.
-DATA_ROWS, QUERY_ROWS = 8192, 1024
+DATA_ROWS, QUERY_ROWS = 8192, 8192
 
 
 def usable(vectors: DataFrame, nonzero: bool = False) -> DataFrame:
