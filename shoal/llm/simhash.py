@@ -5,11 +5,16 @@ fingerprints within ``bits``: bits // 2 + 1 segments. Each segment is indexed on
 that bit left out; fingerprints within reach of each other meet in one of these 64 keys by equality and are
 then verified.
 
-Components are exact, without all pairs of a key's group. First each member of a key is verified against one pivot of the key,
-chosen by a hash of key and fingerprint, so that a group that shares many keys is linked through many pivots; these links
-give provisional classes. Then only pairs of different classes are verified: in each key that has several classes, the
-members outside its largest class against all members. A tight group of near copies is one class after the first
-step, so nothing of it is left for the second. A key of two members is settled by its minimum and maximum.
+Components are exact, without all pairs of a key's group.
+
+1. On a quarter of the keys, each fingerprint is verified against one pivot of the key, chosen by a hash of key and fingerprint, so
+   that a group that shares many keys is linked through many pivots. These links give provisional classes.
+2. On all keys, the largest of a key's classes is its main one. A key of two fingerprints is settled by its minimum and maximum. In the
+   others, only fingerprints outside the main class are looked at: whether one is near any member of the main class (a semi-join, which
+   stops at the first), and then which of those still outside are near each other.
+
+A tight group of near copies is one class after the first step, so little of it is left for the second, and no join gives more
+rows than there are links between different classes.
 
 Defined cases: null, empty or white-space text has fingerprint 0 and is linked like any other; repeated rows are
 kept, each with the same result; a null doc_id is never a component id unless all ids of the component are null;
@@ -63,12 +68,18 @@ def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("h"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, h long, fp long")
 
 
-def variants(fp: Column, bits: int) -> Column:
-    """64 keys of a fingerprint: for each bit, the bit's segment without it, and which bit it was."""
-    cuts = [round(WIDTH * i / (bits // 2 + 1)) for i in range(bits // 2 + 2)]
+def segments(bits: int) -> list[tuple[int, int]]:
+    """First and last bit (exclusive) of bits // 2 + 1 segments."""
+    n = bits // 2 + 1
+    cuts = [round(WIDTH * i / n) for i in range(n + 1)]
+    return [*zip(cuts, cuts[1:])]
+
+
+def variants(fp: Column, bits: int, every: int = 1) -> Column:
+    """Keys of a fingerprint: for each bit (or each ``every``-th), the bit's segment without it, and which bit it was."""
     keys = []
-    for lo, hi in zip(cuts, cuts[1:]):
-        for b in range(lo, hi):
+    for lo, hi in segments(bits):
+        for b in range(lo, hi, every):
             mask = ((1 << (hi - lo)) - 1) & ~(1 << (b - lo))
             segment = F.shiftrightunsigned(fp, lo) if lo else fp
             keys.append(segment.bitwiseAND(F.lit(mask)).bitwiseOR(F.lit(b << 33)))  # a segment has 32 bits at most
@@ -105,30 +116,52 @@ def components(edges: DataFrame) -> DataFrame:
         labels = follow(stash(moved, "labels"), "node", "root")
 
 
+def meets_at(difference: Column, bits: int) -> Column:
+    """The first bit whose key two fingerprints share, from their difference: a pair that shares many keys counts at this one."""
+    out = F.lit(None).cast("int")
+    for lo, hi in reversed(segments(bits)):
+        own = F.shiftrightunsigned(difference, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) if lo else difference.bitwiseAND(F.lit((1 << hi) - 1))
+        bit = F.round(F.log2(F.greatest(own, F.lit(1)).cast("double"))).cast("int") + lo
+        out = F.when(F.bit_count(own) == 0, F.lit(lo)).when(F.bit_count(own) == 1, bit).otherwise(out)
+    return out
+
+
 def classes(prints: DataFrame, bits: int = 4) -> DataFrame:
-    """fp, root: the class of every distinct fp of ``prints`` under links of at most ``bits`` differing bits."""
+    """fp, root: the class of every distinct fp of ``prints`` under links of at most ``bits`` differing bits; root is the class's smallest fp."""
     if bits < 2:
         raise ValueError("from 2 bits on, segments that may differ by one are fewer than the bits")
-    spark = prints.sparkSession
+    tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     distinct = stash(prints.select("fp").distinct(), "distinct")
-    spread = distinct.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
-    keyed = spread.select("fp", F.explode(variants(F.col("fp"), bits)).alias("key"))
-    found = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.min_by("fp", F.xxhash64("key", "fp")).alias("pivot"))
+
+    some = distinct.repartition(tasks).select("fp", F.explode(variants(F.col("fp"), bits, every=4)).alias("key"))
+    pivots = some.groupBy("key").agg(F.count("*").alias("n"), F.min_by("fp", F.xxhash64("key", "fp")).alias("pivot")).where("n > 1").drop("n")
+    first = some.join(pivots, "key").where((F.col("fp") != F.col("pivot")) & near(F.col("fp"), F.col("pivot"), bits)).select(F.col("fp").alias("a"), F.col("pivot").alias("b"))
+    roots = stash(_relabel(distinct.select("fp", F.col("fp").alias("root")), components(first)), "classes")
+    sized = stash(roots.join(roots.groupBy("root").agg(F.count("*").alias("size")), "root"), "sized")
+
+    # joins below are of the same kind at every size: all keys are one side
+    keyed = sized.repartition(tasks).select("fp", "root", "size", F.explode(variants(F.col("fp"), bits)).alias("key"))
+    largest = F.max_by("root", F.col("size") * (1 << 20) + F.pmod(F.xxhash64("root"), F.lit(1 << 20)))
+    found = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi"), largest.alias("main"))
     found = stash(found.where((F.col("n") > 2) | ((F.col("n") == 2) & near(F.col("lo"), F.col("hi"), bits))), "keys")
-    crowded = found.where("n > 2").select("key", "pivot")
-    members = stash(keyed.join(crowded, "key"), "members")
-    first = members.where((F.col("fp") != F.col("pivot")) & near(F.col("fp"), F.col("pivot"), bits)).select(F.col("fp").alias("a"), F.col("pivot").alias("b"))
-    roots = _relabel(distinct.select("fp", F.col("fp").alias("root")), components(first.unionByName(found.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b")))))
-    roots = stash(roots, "classes")
-
-    # what the classes so far leave open: pairs of two classes that share a key
-    apart = stash(members.select("key", "fp").join(roots, "fp"), "apart")
-    main = apart.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", "n").alias("main"), F.count("*").alias("classes"))
-    mixed = stash(apart.join(main.where("classes > 1").select("key", "main"), "key"), "mixed")
-    outside = mixed.where(F.col("root") != F.col("main")).select("key", F.col("fp").alias("a_fp"), F.col("root").alias("a"))
-    links = outside.join(mixed.select("key", "fp", F.col("root").alias("b")), "key")
-    links = links.where((F.col("a") != F.col("b")) & near(F.col("a_fp"), F.col("fp"), bits)).select("a", "b").distinct()
-    return _relabel(roots, components(links))
+    crowded = found.where("n > 2").select(F.col("key").alias("_key"), "main").hint("merge")
+    outside = stash(keyed.join(crowded, (F.col("key") == F.col("_key")) & (F.col("root") != F.col("main"))).select("key", "fp", "root", "main"), "outside")
+    inner = keyed.select(F.col("key").alias("_key"), F.col("fp").alias("_fp"), F.col("root").alias("_root")).hint("merge")
+    joins = outside.join(inner, (F.col("key") == F.col("_key")) & (F.col("main") == F.col("_root")) & near(F.col("fp"), F.col("_fp"), bits), "left_semi")
+    two = found.where("n = 2").select("lo", "hi")
+    for c in ("lo", "hi"):
+        two = two.join(roots.select(F.col("fp").alias(c), F.col("root").alias(f"{c}_root")), c)
+    edges = joins.select(F.col("root").alias("a"), F.col("main").alias("b")).unionByName(two.select(F.col("lo_root").alias("a"), F.col("hi_root").alias("b")))
+    merged = components(edges.where("a != b").distinct())
+
+    top = lambda c: merged.select(F.col("node").alias(c), F.col("root").alias(f"{c}_top"))
+    rest = outside.join(top("root"), "root", "left").join(top("main"), "main", "left")
+    rest = stash(rest.select("key", "fp", F.coalesce("root_top", "root").alias("root"), F.coalesce("main_top", "main").alias("main")), "rest")
+    still = rest.where("root != main").select(F.col("key").alias("_key"), F.col("fp").alias("_fp"), F.col("root").alias("_root"))
+    between = F.col("fp").bitwiseXOR(F.col("_fp"))
+    at = F.shiftright("key", 33).cast("int") == meets_at(between, bits)
+    pairs = still.join(rest, (F.col("key") == F.col("_key")) & (F.col("root") != F.col("_root")) & (F.bit_count(between) <= bits) & at)
+    return _relabel(_relabel(roots, merged), components(pairs.select(F.col("_root").alias("a"), F.col("root").alias("b")).distinct()))
 
 
 def _relabel(roots: DataFrame, merged: DataFrame) -> DataFrame:
