@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -49,3 +50,15 @@ def texts_of(batch: pa.RecordBatch | pa.Table, name: str = "text") -> list[bytes
     if not pa.types.is_large_binary(column.type):
         column = column.cast(pa.binary())
     return [x or b"" for x in column.to_pylist()]
+
+
+def slices(texts: list[bytes], size: int) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``size`` bytes; a longer text is a range of its own."""
+    lo, held = 0, 0
+    for k, t in enumerate(texts):
+        if held and held + len(t) > size:
+            yield lo, k
+            lo, held = k, 0
+        held += len(t)
+    if lo < len(texts):
+        yield lo, len(texts)

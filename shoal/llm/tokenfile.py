@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import unicodedata
 import uuid
 import zlib
@@ -30,10 +31,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shoal.llm.common import fresh_path, stash, texts_of
+from shoal.llm.common import fresh_path, slices, stash, texts_of
 
 MAGIC = b"TOKSHRD1"
 REMEMBERED = 300_000
+#: Pieces given to the library in one text, and bytes of documents encoded together, about.
+AT_ONCE, TOGETHER = 4096, 4 << 20
+#: The pieces of the tokenizer that is encoded piece by piece; fixed values.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Letters, numbers and white space below U+0100, of lower-cased text; fixed values.
+LATIN_LETTERS, LATIN_NUMBERS, LATIN_SPACE = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾", r"\t-\r \x85\xa0"
 LEVELS = 64
 SPREAD = 2  # bits for each key of a level
 
@@ -46,9 +53,11 @@ def opened(uri: str) -> tuple[pa.fs.FileSystem, str]:
 
 
 class PieceEncoder(dict):
-    """Ids of whole texts by the tokenizers library, which is asked once for each distinct piece of its pre-tokenizer.
+    """Ids of whole texts by the tokenizers library, as little-endian bytes; as a dict it holds those of the pieces met.
 
-    Where the tokenizer isn't of the kind this knows (lower case, pieces matched by one pattern), texts go to the library whole.
+    The library's pre-tokenizer cuts a text into pieces that are encoded apart, so each distinct piece is given to it once: many of them in
+    one text, between spaces. Where the tokenizer isn't of the kind this knows (lower case, pieces matched by one pattern of letters,
+    digits and others), texts go to the library whole.
     """
 
     def __init__(self, text: str):
@@ -63,35 +72,56 @@ class PieceEncoder(dict):
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         special = [t["content"] for t in spec["added_tokens"]]
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
-        self.special = {t["content"]: [t["id"]] for t in spec["added_tokens"]}
-        self.pattern = self.split_pattern(spec)
-
-    @staticmethod
-    def split_pattern(spec: dict):
+        self.special = {t["content"]: self.packed([t["id"]]) for t in spec["added_tokens"]}
         kinds = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
         first = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0]
-        if kinds == ["NFC", "Replace", "Lowercase"] and first.get("behavior") == "Removed" and first.get("invert"):
-            return regex.compile(first["pattern"]["Regex"])
-        return None
+        self.by_piece = kinds == ["NFC", "Replace", "Lowercase"] and first.get("behavior") == "Removed" and first.get("invert") and first["pattern"]["Regex"] == PIECES
+        # the alternatives begin with different characters, so their order is free: the commonest first
+        self.pattern = regex.compile(r"\p{L}+|'(?:s|t|re|ve|m|ll|d)|\p{N}|[^\s\p{L}\p{N}]+")
+        self.latin = re.compile(rf"[{LATIN_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{LATIN_NUMBERS}]|[^{LATIN_SPACE}{LATIN_LETTERS}{LATIN_NUMBERS}]+")
 
-    def __missing__(self, piece: str) -> list[int]:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        ids = self.library.encode(piece, add_special_tokens=False).ids
-        self[piece] = ids
-        return ids
-
-    def encode(self, text: str) -> list[int]:
-        if not self.pattern:
-            return self.library.encode(text, add_special_tokens=False).ids
-        if not self.at_special or not self.at_special.search(text):
-            return self.plain(text)
-        return list(chain.from_iterable(self.special.get(x) or self.plain(x) for x in self.at_special.split(text)))
-
-    def plain(self, text: str) -> list[int]:
+    def packed(self, ids: list[int]) -> bytes:
+        return np.array(ids, f"<u{self.width}").tobytes()
+
+    def whole(self, text: str) -> bytes:
+        return self.packed(self.library.encode(text, add_special_tokens=False).ids)
+
+    def pieces(self, text: str) -> list[str]:
         # the library lower-cases character by character; Python looks around a capital sigma
         text = self.library.normalizer.normalize_str(text) if "\u03a3" in text else unicodedata.normalize("NFC", text).lower()
-        return list(chain.from_iterable(map(self.__getitem__, self.pattern.findall(text))))
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.pattern.findall(text)
+        return self.latin.findall(text)
+
+    def learn(self, pieces: list[str]) -> None:
+        for at in range(0, len(pieces), AT_ONCE):
+            part = pieces[at : at + AT_ONCE]
+            got = self.library.encode(" ".join(part), add_special_tokens=False)
+            cuts = np.flatnonzero(np.diff(np.array(got.word_ids))) + 1
+            if len(cuts) + 1 != len(part):
+                self.update((p, self.whole(p)) for p in part)
+                continue
+            ids, ends = self.packed(got.ids), [0, *(cuts * self.width).tolist(), len(got.ids) * self.width]
+            self.update(zip(part, (ids[i:j] for i, j in zip(ends, ends[1:]))))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.by_piece:
+            return [self.whole(t) for t in texts]
+        cut, met = [], set()
+        for t in texts:
+            parts = self.at_special.split(t) if self.at_special and self.at_special.search(t) else [t]
+            cut.append([x if x in self.special else self.pieces(x) for x in parts])
+            for x in cut[-1]:
+                if isinstance(x, list):
+                    met.update(x)
+        new = met - self.keys()
+        if len(self) + len(new) > REMEMBERED:
+            self.clear()
+            new = met
+        self.learn(sorted(new))
+        return [b"".join(chain.from_iterable([self.special[x]] if isinstance(x, str) else map(self.__getitem__, x) for x in parts)) for parts in cut]
 
 
 _kept: dict[int, PieceEncoder] = {}
@@ -164,11 +194,11 @@ class ShardWriter:
         self.out, self.kind = self.fs.open_output_stream(self.path), f"<u{width}"
         self.keys, self.known, self.lengths = [], [], []
 
-    def add(self, key: int | None, ids: list[int]) -> None:
-        self.out.write(np.array(ids, self.kind).tobytes())
+    def add(self, key: int | None, ids: bytes) -> None:
+        self.out.write(ids)
         self.keys.append(key or 0)
         self.known.append(key is not None)
-        self.lengths.append(len(ids))
+        self.lengths.append(len(ids) // np.dtype(self.kind).itemsize)
 
     def close(self) -> None:
         keys, known, lengths = np.array(self.keys, "<i8"), np.array(self.known, bool), np.array(self.lengths, "<i8")
@@ -254,11 +284,13 @@ def write_shards(docs: DataFrame, path: str, end_id: int = 1, shards: int | None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e, shard, out = encoder(spec.value), TaskContext.get().partitionId(), None
-        uri = f"{folder}/shard-{shard:06d}-{uuid.uuid4().hex}.tok"
+        uri, end = f"{folder}/shard-{shard:06d}-{uuid.uuid4().hex}.tok", e.packed([end_id])
         for batch in batches:
-            for key, b in zip(batch.column(0).to_pylist(), texts_of(batch)):
+            keys, texts = batch.column(0).to_pylist(), texts_of(batch)
+            for lo, hi in slices(texts, TOGETHER):
                 out = out or ShardWriter(uri, e.width)
-                out.add(key, [*e.encode(b.decode("utf-8", "replace")), end_id])
+                for key, ids in zip(keys[lo:hi], e.encode([b.decode("utf-8", "replace") for b in texts[lo:hi]])):
+                    out.add(key, ids + end)
         if out:
             out.close()
             yield pa.RecordBatch.from_pylist([{"shard": shard, "uri": uri, "n_docs": len(out.lengths), "n_ids": sum(out.lengths)}], pa.schema([("shard", pa.int32()), ("uri", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
