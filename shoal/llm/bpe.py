@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoal.llm.common import packed, texts_of
+from shoal.llm.common import kept, map_arrow, packed, texts_of
 
 #: Unicode's white space; fixed values.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -33,7 +33,7 @@ PRE_TOKEN = rf"'(?:[sdmt]|ll|ve|re)| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{
 #: Pre-tokens a worker remembers.
 REMEMBERED = 300_000
 #: Ids in an output batch, about.
-BATCH_IDS = 2_000_000
+BATCH_IDS = 500_000
 
 
 def byte_characters() -> dict[str, int]:
@@ -110,16 +110,9 @@ class Tokenizer(dict):
         return b"".join(map(self.strings.__getitem__, ids)).decode("utf-8", "replace")
 
 
-_kept: dict[str, Tokenizer] = {}
-
-
 def tokenizer(text: str) -> Tokenizer:
     """One tokenizer a worker."""
-    key = hashlib.sha256(text.encode()).hexdigest()
-    if key not in _kept:
-        _kept.clear()
-        _kept[key] = Tokenizer(text)
-    return _kept[key]
+    return kept(("bpe", hashlib.sha256(text.encode()).hexdigest()), lambda: Tokenizer(text))
 
 
 def _shipped(docs: DataFrame, path: str):
@@ -154,7 +147,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
                     lo, ids, exact, held = k + 1, [], [], 0
             yield out(lo, batch.num_rows, ids, map(len, ids), exact)
 
-    return rows.mapInArrow(run, f"_row {rows.schema['_row'].dataType.simpleString()}, ids array<int>, exact boolean")
+    return map_arrow(rows, run, f"_row {rows.schema['_row'].dataType.simpleString()}, ids array<int>, exact boolean")
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
@@ -172,4 +165,4 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
             columns = [*zip(*rows)] or [[], [], []]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_arrow(docs.select("doc_id", F.col("text").cast("binary").alias("text")), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of rows in a batch for Python.
+BATCH_BYTES = 4 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -39,6 +41,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def map_arrow(rows: DataFrame, run, schema: str) -> DataFrame:
+    """mapInArrow with batches of bounded bytes, whatever the length of the texts (a longer text is a batch of its own)."""
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return rows.mapInArrow(run, schema)
+
+
+_kept: dict = {}
+
+
+def kept(key, make):
+    """What a worker keeps from task to task: one thing, the last asked for, so that what operators keep doesn't add up."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
 def packed(docs: DataFrame, *keys) -> DataFrame:
     """Every column of ``docs`` in one struct ``_row`` beside ``keys``, so that no name can clash."""
     return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), *keys)

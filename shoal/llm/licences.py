@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoal.llm.common import texts_of
+from shoal.llm.common import map_arrow, texts_of
 
 #: Phrases whose every place is counted, and their labels; fixed values.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -137,7 +137,8 @@ def licence_idf(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) ->
                 found.update(vocabulary.intersection(words_of(text)))
         yield pa.RecordBatch.from_arrays([pa.array([b"", *found], pa.binary()), pa.array([n, *found.values()], pa.int64())], ["word", "n"])
 
-    counts = {bytes(r["word"]): r["n"] for r in docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
+    counted = map_arrow(docs.select(F.col("text").cast("binary").alias("text")), run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = {bytes(r["word"]): r["n"] for r in counted.collect()}
     n = counts.get(b"", 0)
     return {w: math.log((n + 1) / (counts.get(w, 0) + 1)) for w in vocabulary}
 
@@ -160,7 +161,7 @@ def scan_licences(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES,
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(base, base_type), pa.array(found, found_type)], ["doc_id", "n_words", "base", "found"])
 
     schema = "doc_id long, n_words long, base array<struct<place:long,label:string>>, found array<struct<label:string,place:long,score:double>>"
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
+    return map_arrow(docs.select("doc_id", F.col("text").cast("binary").alias("text")), run, schema)
 
 
 def licence_report(docs: DataFrame, **options) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoal.llm.common import packed, texts_of
+from shoal.llm.common import kept, map_arrow, packed, texts_of
 from shoal.llm.linear import Linear, Rows, fit, sigmoid
 
 SAMPLE = 10_000
@@ -47,13 +47,10 @@ class Shapes(dict):
         return out
 
 
-_shapes = Shapes()
-
-
-def features(words: list[bytes]) -> tuple[list[int], list[float]]:
+def features(words: list[bytes], shapes: Shapes) -> tuple[list[int], list[float]]:
     """Buckets and values: the root of each shape's share, and the share of words that repeat the one before (last bucket)."""
     n = max(1, len(words))
-    found = Counter(map(_shapes.__getitem__, words))
+    found = Counter(map(shapes.__getitem__, words))
     again = sum(map(eq, words, words[1:]))
     return [*found, BUCKETS - 1], [*((c / n) ** 0.5 for c in found.values()), (again / n) ** 0.5]
 
@@ -135,7 +132,7 @@ def _votes_of(docs: DataFrame) -> DataFrame:
                 counts["".join(map(str, votes(t, t.split())))] += 1
         yield pa.RecordBatch.from_arrays([pa.array([*counts], pa.string()), pa.array([*counts.values()], pa.int64())], ["votes", "n"])
 
-    return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "votes string, n long").groupBy("votes").agg(F.sum("n").alias("n"))
+    return map_arrow(docs.select(F.col("text").cast("binary").alias("text")), run, "votes string, n long").groupBy("votes").agg(F.sum("n").alias("n"))
 
 
 def _sampled(docs: DataFrame, total: int) -> list:
@@ -146,16 +143,17 @@ def _sampled(docs: DataFrame, total: int) -> list:
         some = some.where(F.pmod("h", F.lit(1 << 20)) < int(1.2 * SAMPLE / total * (1 << 20)) + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shapes = kept("shapes", Shapes)
         for batch in batches:
             rows = []
             for t in texts_of(batch):
                 words = t.split()
-                columns, values = features(words)
+                columns, values = features(words, shapes)
                 rows.append(("".join(map(str, votes(t, words))), columns, values))
             a, b, c = [*zip(*rows)] or [[], [], []]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(a, pa.string()), pa.array(b, pa.list_(pa.int32())), pa.array(c, pa.list_(pa.float32()))], ["h", "votes", "columns", "values"])
 
-    return some.mapInArrow(run, "h long, votes string, columns array<int>, values array<float>").orderBy("h", "votes").limit(SAMPLE).collect()
+    return map_arrow(some, run, "h long, votes string, columns array<int>, values array<float>").orderBy("h", "votes").limit(SAMPLE).collect()
 
 
 def fit_quality(docs: DataFrame) -> tuple[dict[str, float], Linear]:
@@ -175,15 +173,15 @@ def score_quality(docs: DataFrame, least: float = 0.5) -> DataFrame:
     rows = packed(docs, F.col("text").cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        posterior, weights, bias = shipped.value
+        (posterior, weights, bias), shapes = shipped.value, kept("shapes", Shapes)
         for batch in batches:
             said, scores = [], []
             for t in texts_of(batch):
                 words = t.split()
                 said.append("".join(map(str, votes(t, words))))
-                columns, values = features(words)
+                columns, values = features(words, shapes)
                 scores.append(float(weights[columns] @ np.array(values)) + bias)
             p = sigmoid(np.array(scores))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(said, pa.string()), pa.array([posterior[s] for s in said], pa.float64()), pa.array(p, pa.float64()), pa.array(p >= least, pa.bool_())], ["_row", "votes", "weak", "score", "keep"])
 
-    return rows.mapInArrow(run, f"_row {rows.schema['_row'].dataType.simpleString()}, votes string, weak double, score double, keep boolean")
+    return map_arrow(rows, run, f"_row {rows.schema['_row'].dataType.simpleString()}, votes string, weak double, score double, keep boolean")

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from shoal.llm.common import packed, stash, texts_of
+from shoal.llm.common import map_arrow, packed, stash, texts_of
 
 WIDTH = 64
 
@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42) -> DataFrame:
             got = np.array([fingerprint(t, words, seed) for t in texts_of(batch)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, pa.int64())], ["doc_id", "h", "fp"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("h"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, h long, fp long")
+    return map_arrow(docs.select("doc_id", F.xxhash64("text").alias("h"), F.col("text").cast("binary").alias("text")), run, "doc_id long, h long, fp long")
 
 
 def segments(bits: int) -> list[tuple[int, int]]:

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shoal.llm.common import fresh_path, slices, stash, texts_of
+from shoal.llm.common import fresh_path, kept, map_arrow, slices, stash, texts_of
 
 MAGIC = b"TOKSHRD1"
 REMEMBERED = 300_000
@@ -124,15 +124,8 @@ class PieceEncoder(dict):
         return [b"".join(chain.from_iterable([self.special[x]] if isinstance(x, str) else map(self.__getitem__, x) for x in parts)) for parts in cut]
 
 
-_kept: dict[int, PieceEncoder] = {}
-
-
 def encoder(text: str) -> PieceEncoder:
-    key = zlib.crc32(text.encode())
-    if key not in _kept:
-        _kept.clear()
-        _kept[key] = PieceEncoder(text)
-    return _kept[key]
+    return kept(("pieces", zlib.crc32(text.encode())), lambda: PieceEncoder(text))
 
 
 # --- minimal perfect hash ---------------------------------------------------------------------------------------
@@ -295,7 +288,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int = 1, shards: int | None
             out.close()
             yield pa.RecordBatch.from_pylist([{"shard": shard, "uri": uri, "n_docs": len(out.lengths), "n_ids": sum(out.lengths)}], pa.schema([("shard", pa.int32()), ("uri", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
-    written = stash(ranged.mapInArrow(run, "shard int, uri string, n_docs long, n_ids long"), "token-index")
+    written = stash(map_arrow(ranged, run, "shard int, uri string, n_docs long, n_ids long"), "token-index")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return written.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
@@ -310,4 +303,4 @@ def read_shards(shards: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     spread = shards.select("uri", "start").repartition(int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return map_arrow(spread, run, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shoal.llm.common import packed, stash, texts_of
+from shoal.llm.common import map_arrow, packed, stash, texts_of
 from shoal.llm.licences import words_of
 from shoal.llm.linear import Linear, Rows, fit, sigmoid
 
@@ -119,7 +119,7 @@ def _featured(rows: DataFrame) -> DataFrame:
             found = [shares(t) for t in texts_of(batch)]
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array([a for a, _ in found], pa.list_(pa.binary())), pa.array([b for _, b in found], pa.list_(pa.float32()))], ["h", "y", "names", "values"])
 
-    return rows.select("text", "h", "y").mapInArrow(run, "h long, y array<double>, names array<binary>, values array<float>")
+    return map_arrow(rows.select("text", "h", "y"), run, "h long, y array<double>, names array<binary>, values array<float>")
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, Column] | None = None) -> tuple[dict[bytes, int], Chain]:
@@ -175,4 +175,4 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, Col
             p = model.predict(Rows.of([a for a, _ in found], [b for _, b in found], len(of)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(p), pa.list_(pa.float64())), pa.array(p[:, -1] > most, pa.bool_())], ["_row", "p", "toxic"])
 
-    return rows.mapInArrow(run, f"_row {rows.schema['_row'].dataType.simpleString()}, p array<double>, toxic boolean")
+    return map_arrow(rows, run, f"_row {rows.schema['_row'].dataType.simpleString()}, p array<double>, toxic boolean")
