@@ -34,13 +34,12 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def neighbours(x: np.ndarray, k: int) -> np.ndarray:
-    """Row numbers of each row's k largest inner products, itself left out; in blocks of rows."""
-    out = []
-    for at in range(0, len(x), 1024):
-        s = x[at : at + 1024] @ x.T
+    """Row numbers of each row's k largest inner products, itself left out; in small blocks of rows, in single precision."""
+    out, x, k = [], x.astype(np.float32), min(k, len(x) - 1)
+    for at in range(0, len(x), 256):
+        s = x[at : at + 256] @ x.T
         s[np.arange(len(s)), np.arange(at, at + len(s))] = -np.inf
-        k_ = min(k, len(x) - 1)
-        out.append(np.argpartition(-s, k_ - 1, axis=1)[:, :k_] if k_ > 0 else np.zeros((len(s), 0), np.int64))
+        out.append(np.argpartition(s, len(x) - k, axis=1)[:, len(x) - k :].astype(np.int32) if k > 0 else np.zeros((len(s), 0), np.int32))
     return np.concatenate(out)
 
 
