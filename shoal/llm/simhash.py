@@ -37,18 +37,26 @@ from shoal.llm.common import map_arrow, packed, stash, texts_of
 WIDTH = 64
 
 
-def fingerprint(text: bytes, words: int = 4, seed: int = 42) -> int:
-    """Unsigned SimHash of the text's word shingles, repeats included."""
+def shingles(text: bytes, words: int = 4, seed: int = 42) -> np.ndarray:
+    """Hashes of the text's word shingles, repeats included; none of a text without words."""
     tokens = text.lower().split()  # of bytes: lower-cases A-Z and splits at ASCII white space only
     if not tokens:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(tokens)
     ends = list(accumulate(map(len, tokens)))
     n = max(1, len(tokens) - words + 1)
     last = min(words, len(tokens)) - 1
     # token i begins after i spaces and the tokens before it
     starts = [0, *[e + i + 1 for i, e in enumerate(ends)]]
-    hashes = np.fromiter((xxh64_intdigest(joined[starts[i] : ends[i + last] + i + last], seed) for i in range(n)), np.uint64, n)
+    return np.fromiter((xxh64_intdigest(joined[starts[i] : ends[i + last] + i + last], seed) for i in range(n)), np.uint64, n)
+
+
+def fingerprint(text: bytes, words: int = 4, seed: int = 42) -> int:
+    """Unsigned SimHash of the text's word shingles, repeats included."""
+    hashes = shingles(text, words, seed)
+    n = len(hashes)
+    if not n:
+        return 0
     votes = np.zeros(WIDTH, np.int64)
     for at in range(0, n, 1 << 16):
         part = hashes[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -180,7 +188,11 @@ def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4, seed: int =
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """Rows of ``docs``, one of each class: that of the smallest doc_id, then of the smallest hash of the text; null doc_ids last."""
-    found = stash(near_duplicates(docs, **options), "near-duplicates")
+    return one_of_each(docs, stash(near_duplicates(docs, **options), "near-duplicates"))
+
+
+def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of ``docs``, one of each class of ``found`` (doc_id, h, class)."""
     stays = found.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("s")).select(F.col("s.doc_id").alias("_id"), F.col("s.h").alias("_h"))
     rows = packed(docs, docs["doc_id"].alias("doc_id"), F.xxhash64(docs["text"]).alias("h"))
     kept = rows.join(stays, rows["doc_id"].eqNullSafe(stays["_id"]) & (rows["h"] == stays["_h"]), "left_semi")
