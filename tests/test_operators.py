@@ -1,5 +1,6 @@
 """Edge cases and properties of the vector-search operators."""
 
+import inspect
 import math
 import random
 
@@ -197,3 +198,17 @@ def test_global_pull_from_one_entry(spark):
     edges = spark.createDataFrame([(i, j) for i in range(12) for j in (i - 1, i + 1) if 0 <= j < 12], "src long, dst long")
     q = table(spark, [(0, [9.2, 0])], "query_id")
     assert found(search.global_pull(q, edges, v, v.where("vec_id = 0"), 2, 4, beam=2)) == [(0, 9), (0, 10)]
+
+
+def test_supersteps_never_end_early_in_silence(spark):
+    v = table(spark, [(i, [i, 0]) for i in range(12)])
+    edges = spark.createDataFrame([(i, j) for i in range(12) for j in (i - 1, i + 1) if 0 <= j < 12], "src long, dst long")
+    q, seeds = table(spark, [(0, [9.2, 0])], "query_id"), spark.createDataFrame([(0, 0)], "query_id long, vec_id long")
+    assert inspect.signature(search.supersteps).parameters["most"].default is None  # all steps that it takes
+    with pytest.raises(RuntimeError, match="still open"):
+        search.supersteps(q, seeds, edges, v, 2, 4, 1, most=2)
+
+
+def test_supersteps_with_the_met_rows_compacted(spark, monkeypatch):
+    monkeypatch.setattr(search, "COMPACTED", 2)
+    test_global_pull_from_one_entry(spark)
