@@ -109,12 +109,12 @@ def delete(base: DataFrame, ids: DataFrame) -> DataFrame:
 def nearest_centers(points: DataFrame, centers: DataFrame, k: int = 1, metric: str = "l2") -> DataFrame:
     """vec_id, rank (from 1), part_id, dist: each point's k nearest centres (part_id, center), ties to the smaller part_id.
 
-    Centres are one for each partition of a cluster, so a few thousand rows at most; MAX_CENTERS is checked before they are sent
-    to all tasks.
+    Up to MAX_CENTERS centres are sent to all tasks; more are searched in blocks, as rows are by ``knn_join`` (vec_ids are unique then).
     """
     rows = centers.select("part_id", "center").orderBy("part_id").limit(MAX_CENTERS + 1).collect()
     if len(rows) > MAX_CENTERS:
-        raise ValueError(f"more than {MAX_CENTERS} centres")
+        found = knn_join(points.select(F.col("vec_id").alias("query_id"), "embedding"), centers.select(F.col("part_id").alias("vec_id"), F.col("center").alias("embedding")), k, metric)
+        return found.select(F.col("query_id").alias("vec_id"), "rank", F.col("vec_id").cast("long").alias("part_id"), "dist")
     ids, c = np.array([r["part_id"] for r in rows], np.int64), np.array([r["center"] for r in rows], float)
     kernel, n = KERNELS[metric], min(k, len(rows))
 
@@ -130,4 +130,5 @@ def nearest_centers(points: DataFrame, centers: DataFrame, k: int = 1, metric: s
     return points.select("vec_id", "embedding").mapInPandas(assign, "vec_id long, rank int, part_id long, dist double")
 
 
+#: Centres that are sent to all tasks, at most.
 MAX_CENTERS = 4096

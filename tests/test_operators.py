@@ -212,3 +212,14 @@ def test_supersteps_never_end_early_in_silence(spark):
 def test_supersteps_with_the_met_rows_compacted(spark, monkeypatch):
     monkeypatch.setattr(search, "COMPACTED", 2)
     test_global_pull_from_one_entry(spark)
+
+
+@pytest.mark.parametrize("metric, k", [("l2", 1), ("l2", 3), ("cosine", 2)])
+def test_more_centers_than_are_sent_to_all_tasks(spark, monkeypatch, metric, k):
+    random.seed(4)
+    points = table(spark, [(i, [random.randint(1, 5) for _ in range(3)]) for i in range(80)])
+    centers = spark.createDataFrame([(i, [float(random.randint(1, 5)) for _ in range(3)]) for i in range(12)] + [(12, [1.0, 2.0, 3.0]), (13, [1.0, 2.0, 3.0])], "part_id long, center array<double>")
+    got = lambda: [(r["vec_id"], r["rank"], r["part_id"], round(r["dist"], 6)) for r in exact.nearest_centers(points, centers, k, metric).orderBy("vec_id", "rank").collect()]
+    sent = got()
+    monkeypatch.setattr(exact, "MAX_CENTERS", 5)
+    assert got() == sent and len(sent) == 80 * k
