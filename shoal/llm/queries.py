@@ -42,7 +42,7 @@ def op5_toxicity(spark, sf_dir):
     from shoal.llm.toxicity import score_toxicity
 
     found = score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return found.select("_row.doc_id", F.element_at("p", 1).alias("p_dense"), F.element_at("p", 2).alias("p_toxic"), "toxic")
+    return found.select("_row.doc_id", F.element_at("p", 1).alias("p_junk"), F.element_at("p", 2).alias("p_toxic"), "toxic")
 
 
 def op6_bpe_round_trip(spark, sf_dir):

@@ -3,39 +3,45 @@
 Categories are predicted in turn by linear models; each later model also gets the earlier categories' probabilities. In training
 these are out-of-fold predictions, so a later model sees them as accurate as they will be on new documents.
 
-The labels table has one toxicity label. The chain's categories are graded from it: ``dense`` (toxic, and in the upper half of toxic
-documents by share of words that training associates with toxicity) and then ``toxic``. Other label columns can be given.
+By default the categories are those that the labels table gives: ``junk`` (quality 0), then ``toxic``. Others can be given, with any columns of
+the labels. A category's model is fitted on the rows whose label is known.
 
-Features are shares of words and of word stems (4 to 7 characters); the vocabulary is the MOST that labels of the sample set
-apart best. It is fitted on at most SAMPLE labelled documents, the first by a hash of the doc_id; every document is scored, over its
-whole text.
+A feature's value is its share of the whole text's words, times SCALE, 1 at most; features are words and word stems (4 to 7 characters). The same
+function computes them for fitting and for scoring. The vocabulary is every feature that stands in at least LEAST_DOCUMENTS documents that are of
+any category, and in a LEAST_SHARE of those, and whose mean in a category is more than LEAST_SCORE standard errors above that of the others. It is fitted on at most SAMPLE labelled
+documents, the first by a hash of the doc_id; every document is scored, over its whole text.
 
 Defined cases: null text has no words; a doc_id with several labels has the highest; null labels and labels without
-document are left out; without labels, or with one class only, nothing is toxic; repeated rows are scored each; an empty table
-gives an empty result.
+document are left out; without labels, or with one class only, nothing is toxic; labels that tie are as they come, since a document's
+probability depends on its text alone; repeated rows are scored each; a text of any length is one document, whose words are counted in one
+pass; extra columns of any name stay in ``_row``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shoal.llm.common import map_arrow, packed, stash, texts_of
+from shoal.llm.common import map_arrow, packed, slices, stash, texts_of
 from shoal.llm.licences import words_of
 from shoal.llm.linear import Linear, Rows, fit, sigmoid
 
 SAMPLE = 10_000
-MOST = 4096
 FOLDS = 5
-REMEMBERED = 300_000
-#: A feature counts in training from this share of a document's words; the value grows with the share up to 1.
-LEAST_SHARE, SCALE = 0.004, 40.0
+REMEMBERED = 100_000
+#: A feature's value grows with its share of a document's words up to 1, at 1 / SCALE.
+SCALE = 40.0
+LEAST_DOCUMENTS, LEAST_SHARE, LEAST_SCORE = 3, 0.01, 3.0
+#: Partitions of the sample, and bytes of its text worked on at once.
+SAMPLE_PARTS, SLICE = 12, 1 << 18
 
 
 def stems(word: bytes) -> list[bytes]:
@@ -44,17 +50,6 @@ def stems(word: bytes) -> list[bytes]:
     return [b"=" + word, *(b"-" + text[:k].encode() for k in range(4, 8) if len(text) >= k)]
 
 
-def shares(text: bytes) -> tuple[list[bytes], list[float]]:
-    """Features of a document that reach LEAST_SHARE, with their values."""
-    words = words_of(text)
-    n, found = len(words), Counter()
-    for w, c in Counter(words).items():
-        for s in stems(w):
-            found[s] += c
-    kept = {s: min(1.0, SCALE * c / n) for s, c in found.items() if c >= LEAST_SHARE * n}
-    return [*kept], [*kept.values()]
-
-
 class Vocabulary(dict):
     """Indices of the features of each word met."""
 
@@ -83,16 +78,17 @@ class Chain:
 
     @classmethod
     def fit(cls, names: list[str], x: Rows, y: np.ndarray, folds: np.ndarray) -> Chain:
-        """y: row, category; folds: a fold of each row, by which earlier probabilities are made out of fold."""
+        """y: row, category (not a number: unknown); folds: a fold of each row, by which earlier probabilities are made out of fold."""
         models, earlier = [], np.zeros((len(x), 0))
         for c in range(len(names)):
-            models.append(fit(x, earlier, y[:, c]))
+            known = ~np.isnan(y[:, c])
+            models.append(fit(x.take(known), earlier[known], y[known, c]))
             if c + 1 == len(names):
                 break
             out = np.zeros(len(x))
             for f in np.unique(folds):
-                test = folds == f
-                part = fit(x.take(~test), earlier[~test], y[~test, c])
+                test, train = folds == f, (folds != f) & known
+                part = fit(x.take(train), earlier[train], y[train, c])
                 out[test] = sigmoid(part.logits(x.take(test), earlier[test]))
             earlier = np.column_stack([earlier, out])
         return cls(names, models)
@@ -104,61 +100,83 @@ class Chain:
         return p
 
 
-def _labelled(docs: DataFrame, labels: DataFrame, categories: dict[str, Column]) -> DataFrame:
-    """doc_id, h, y of at most SAMPLE labelled doc_ids, then their documents' features."""
-    y = F.array(*[F.coalesce(c.cast("double"), F.lit(0.0)) for c in categories.values()])
-    given = labels.where("doc_id is not null").select("doc_id", y.alias("y"), F.greatest(*[c.isNotNull().cast("int") for c in categories.values()], F.lit(0)).alias("known")).where("known = 1")
-    given = given.groupBy("doc_id").agg(F.max("y").alias("y")).withColumn("h", F.xxhash64(F.lit(11), "doc_id"))
+def default_categories(labels: DataFrame) -> dict[str, Column]:
+    toxic = {"toxic": F.col("toxic")}
+    return {"junk": 1 - F.col("quality"), **toxic} if "quality" in labels.columns else toxic
+
+
+def _sampled(docs: DataFrame, labels: DataFrame, categories: dict[str, Column]) -> DataFrame:
+    """h, y, text of at most SAMPLE labelled doc_ids' documents."""
+    columns = [F.max(c.cast("double")).alias(f"y{i}") for i, c in enumerate(categories.values())]
+    given = labels.where("doc_id is not null").groupBy("doc_id").agg(*columns)
+    given = given.where(f"y{len(columns) - 1} is not null").select("doc_id", F.array(*[f"y{i}" for i in range(len(columns))]).alias("y"), F.xxhash64(F.lit(11), "doc_id").alias("h"))
     some = given.orderBy("h", "doc_id").limit(SAMPLE)
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(some), "doc_id")  # SAMPLE rows at most
+    found = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(some), "doc_id")  # SAMPLE rows at most
+    return stash(found.select("h", "y", "text").repartition(SAMPLE_PARTS), "toxicity-sample")
 
 
-def _featured(rows: DataFrame) -> DataFrame:
+def _candidates(rows: DataFrame) -> list[bytes]:
+    """Features that stand in LEAST_DOCUMENTS, and in LEAST_SHARE, of the documents that are of any category."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shares(t) for t in texts_of(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array([a for a, _ in found], pa.list_(pa.binary())), pa.array([b for _, b in found], pa.list_(pa.float32()))], ["h", "y", "names", "values"])
+            texts = texts_of(batch)
+            for lo, hi in slices(texts, SLICE):
+                found: Counter[bytes] = Counter()
+                for t in texts[lo:hi]:
+                    found.update(reduce(set.union, map(set, map(stems, {*words_of(t)})), set()))
+                yield pa.RecordBatch.from_arrays([pa.array([*found], pa.binary()), pa.array([*found.values()], pa.int64())], ["name", "n"])
+
+    positive = rows.where(F.exists("y", lambda c: c > 0))
+    least = max(LEAST_DOCUMENTS, LEAST_SHARE * positive.count())
+    counted = map_arrow(positive.select("text"), run, "name binary, n long").groupBy("name").agg(F.sum("n").alias("n"))
+    return sorted(counted.where(F.col("n") >= least).select("name").toArrow()["name"].to_pylist())
 
-    return map_arrow(rows.select("text", "h", "y"), run, "h long, y array<double>, names array<binary>, values array<float>")
+
+def _entries(rows: DataFrame, of: dict[bytes, int]) -> pa.Table:
+    """h, y, columns, values of the sample's rows."""
+    shipped = rows.sparkSession.sparkContext.broadcast(of)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Vocabulary(shipped.value)
+        for batch in batches:
+            texts = texts_of(batch)
+            for lo, hi in slices(texts, SLICE):
+                found = [known.entries(t) for t in texts[lo:hi]]
+                lists = [pa.array([a for a, _ in found], pa.list_(pa.int32())), pa.array([b for _, b in found], pa.list_(pa.float32()))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), *lists], ["h", "y", "columns", "values"])
+
+    return map_arrow(rows.select("h", "y", "text"), run, "h long, y array<double>, columns array<int>, values array<float>").orderBy("h", "columns", "values").toArrow()
+
+
+def telling(x: Rows, y: np.ndarray) -> np.ndarray:
+    """Columns whose mean value where y is 1 is more than LEAST_SCORE standard errors above that elsewhere."""
+    bad, good = y > 0, y == 0
+    sums = [np.bincount(x.columns, x.values**p * of[x.rows], x.width) for of in (bad, good) for p in (1, 2)]
+    n = [max(1, int(bad.sum())), max(1, int(good.sum()))]
+    means = [sums[0] / n[0], sums[2] / n[1]]
+    spread = (sums[1] / n[0] - means[0] ** 2) / n[0] + (sums[3] / n[1] - means[1] ** 2) / n[1]
+    return np.flatnonzero(means[0] - means[1] > LEAST_SCORE * np.sqrt(np.maximum(spread, 1e-12)))
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, Column] | None = None) -> tuple[dict[bytes, int], Chain]:
-    """The vocabulary and the chain. ``categories``: name to a 0/1 column of ``labels``; by default graded from ``toxic``."""
-    graded = categories is None
-    categories = categories or {"toxic": F.col("toxic")}
-    rows = stash(_featured(_labelled(docs, labels, categories)), "toxicity-sample")
-    label = F.element_at("y", -1)
-    each = rows.withColumn("toxic", label).select("toxic", F.explode(F.arrays_zip("names", "values")).alias("f")).groupBy(F.col("f.names").alias("name"))
-    counts = rows.agg(F.coalesce(F.sum(label), F.lit(0.0)).alias("bad"), F.count("*").alias("n")).first()
-    bad, n = float(counts["bad"]), int(counts["n"])
-    if not 0 < bad < n:
-        names = ["dense", "toxic"] if graded else [*categories]
-        return {}, Chain(names, [Linear(np.zeros(0), np.zeros(c), -40.0) for c in range(len(names))])
-    found = each.agg(F.sum("toxic").alias("a"), F.count("*").alias("n")).where("a >= 3")
-    # chi-squared of presence and label, signed towards toxic
-    expected = F.col("n") * F.lit(bad / n)
-    gain = (F.col("a") - expected) * F.abs(F.col("a") - expected) / expected
-    chosen = found.withColumn("gain", gain).where("gain > 10").orderBy(F.desc("gain"), "name").limit(MOST).collect()
-    vocabulary = {bytes(r["name"]): i for i, r in enumerate(chosen)}
-    strong = {i for i, r in enumerate(chosen) if r["a"] >= 0.8 * r["n"]}
-    chosen_names = docs.sparkSession.createDataFrame([(bytearray(k), i) for k, i in vocabulary.items()], "name binary, column int")
-    exploded = rows.withColumn("row", F.monotonically_increasing_id()).select("row", "h", "y", F.explode_outer(F.arrays_zip("names", "values")).alias("f"))
-    listed = exploded.join(F.broadcast(chosen_names), F.col("f.names") == F.col("name"), "left")  # MOST rows at most
-    listed = listed.groupBy("row", "h").agg(F.first("y").alias("y"), F.collect_list(F.when(F.col("column").isNotNull(), F.struct("column", F.col("f.values").alias("value")))).alias("f"))
-    columns, values, ys, hs = [], [], [], []
-    for r in listed.orderBy("h", "row").collect():  # the sample
-        kept = sorted((f["column"], f["value"]) for f in r["f"])
-        columns.append([k for k, _ in kept])
-        values.append([v for _, v in kept])
-        ys.append(r["y"])
-        hs.append(r["h"])
-    x, y, h = Rows.of(columns, values, len(vocabulary)), np.array(ys), np.array(hs, np.int64)
+    """The vocabulary and the chain. ``categories``: name to a 0/1 column of ``labels``, the one that decides last."""
+    categories = categories or default_categories(labels)
     names = [*categories]
-    if graded:
-        dense = np.array([sum(v for c, v in zip(cs, vs) if c in strong) for cs, vs in zip(columns, values)])
-        middle = np.median(dense[y[:, 0] > 0])
-        names, y = ["dense", "toxic"], np.column_stack([(y[:, 0] > 0) & (dense > middle), y[:, 0]]).astype(float)
-    return vocabulary, Chain.fit(names, x, y, h % FOLDS)
+    rows = _sampled(docs, labels, categories)
+    candidates = _candidates(rows)
+    found = _entries(rows, {name: i for i, name in enumerate(candidates)})
+    y = np.array([[np.nan if v is None else v for v in r] for r in found["y"].to_pylist()], float).reshape(-1, len(names))
+    if not candidates or len(np.unique(y[:, -1])) < 2:
+        return {}, Chain(names, [Linear(np.zeros(0), np.zeros(c), -40.0) for c in range(len(names))])
+    flat = lambda name, kind: found[name].combine_chunks().flatten().to_numpy().astype(kind)
+    x = Rows(flat("columns", np.int64), flat("values", np.float64), np.cumsum([0, *pc.list_value_length(found["columns"]).to_numpy()]), len(candidates))
+    chosen = np.unique(np.concatenate([telling(x, y[:, c]) for c in range(len(names))]))
+    place = np.full(len(candidates), -1)
+    place[chosen] = np.arange(len(chosen))
+    keep = place[x.columns] >= 0
+    x = Rows(place[x.columns][keep], x.values[keep], np.cumsum([0, *np.bincount(x.rows[keep], minlength=len(x))]), len(chosen))
+    return {candidates[c]: i for i, c in enumerate(chosen)}, Chain.fit(names, x, y, found["h"].to_numpy() % FOLDS)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, Column] | None = None, most: float = 0.5) -> DataFrame:
