@@ -45,15 +45,17 @@ def best(found: DataFrame, k: int) -> DataFrame:
 def searched(queries: DataFrame, data: DataFrame, search: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple], score_type: str, k: int) -> DataFrame:
     """Joins blocks of queries and data by their key (``pair``: array of their blocks) and searches each pair.
 
-    ``search(query ids, query vectors, ids, vectors)`` gives arrays of query positions, data positions and scores.
+    ``search(query ids, query vectors, ids, vectors)`` gives arrays of query positions, data positions and scores; a column ``floor`` of the queries is its fifth argument.
     """
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
         if not len(left) or not len(right):
             return empty
-        q, d, scores = search(left["vec_id"].to_numpy(), matrix(left["v"]), right["vec_id"].to_numpy(), matrix(right["v"]))
+        more = [left["floor"].to_numpy()] if "floor" in left else []
+        q, d, scores = search(left["vec_id"].to_numpy(), matrix(left["v"]), right["vec_id"].to_numpy(), matrix(right["v"]), *more)
         return pd.DataFrame({"query_id": left["vec_id"].to_numpy()[q], "vec_id": right["vec_id"].to_numpy()[d], "score": scores})
 
+    queries, data = (side.select(*[F.col(c).alias(c) for c in side.columns]) for side in (queries, data))  # both may come of one table
     pairs = queries.groupBy("pair").cogroup(data.groupBy("pair")).applyInPandas(run, f"query_id long, vec_id long, score {score_type}")
     return best(pairs, k)

@@ -5,12 +5,14 @@ take SLACK; rows move to the part most of their neighbours are in), and a small
 puts every row of the table in its most probable part and routes a query to its several most probable parts, whose rows are
 reranked by the exact inner product.
 
-How many parts are probed is set on the sample: the fewest at which held-out sample queries find TARGET of their true neighbours
-(with half as many misses again as a margin); data without structure makes that most parts, structured data few.
-
-Defined cases: vectors that are null, zero, empty or hold a null or non-finite component take no part, nor do rows without vec_id or of another
-length than most; rows that repeat a query's vec_id are its own rows; fewer than k candidates in the probed parts are completed by probing
-all parts; an empty table gives an empty result.
+There is a part for each PART_ROWS rows of the table, PARTS at least and as many as the sample has rows for (SAMPLE / LEAST_ROWS) at most. How many parts are
+probed is set on the sample: the fewest at which sample rows that took no part in the fit find TARGET of their true neighbours, with half as many
+misses again as a margin; data without structure makes that most parts, structured data few.
+
+Defined cases: vectors that are null, zero, empty or hold a null or non-finite component take no part, nor do rows without vec_id; vectors of another
+length than most are a part for each length, which queries of that length probe; rows that repeat a query's vec_id are its own rows, of which the
+smallest vector is the query; fewer than k candidates in the probed parts are completed by probing all parts; scores that tie go by the smaller vec_id;
+columns other than vec_id and embedding are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from shoal.llm.blocks import DATA_ROWS, QUERY_ROWS, matrix, queries_of, searched, usable
 from shoal.llm.common import stash
 
-SAMPLE, PARTS, NEIGHBOURS, SLACK, TARGET = 8192, 16, 12, 0.05, 0.95
+SAMPLE, PARTS, PART_ROWS, LEAST_ROWS, NEIGHBOURS, SLACK, TARGET = 8192, 16, 8192, 64, 12, 0.05, 0.95
 ROUNDS, STEPS = 30, 200
 
 
@@ -97,12 +99,12 @@ def ranked_parts(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return np.argsort(-(np.column_stack([unit(x), np.ones(len(x))]) @ w), axis=1, kind="stable")
 
 
-def probes_needed(x: np.ndarray, w: np.ndarray, k: int, target: float = TARGET) -> int:
-    """The fewest probed parts at which sample rows find enough of their k true neighbours in the sample."""
-    graph, ranked = neighbours(x, k), ranked_parts(x, w)
-    place = np.argsort(ranked, axis=1)  # of each part in each row's ranking
+def probes_needed(x: np.ndarray, test: np.ndarray, w: np.ndarray, k: int, target: float = TARGET) -> int:
+    """The fewest probed parts at which the rows ``test`` of the sample find enough of their k true neighbours in it, the margin included."""
+    graph, ranked = neighbours(x, k)[test], ranked_parts(x, w)
+    place = np.argsort(ranked[test], axis=1)  # of each part in each row's ranking
     needed = np.take_along_axis(place, ranked[:, 0][graph], 1)
-    return int(np.quantile(needed, target, method="higher")) + 1 if needed.size else ranked.shape[1]
+    return int(np.quantile(needed, 1 - (1 - target) / 1.5, method="higher")) + 1 if needed.size else ranked.shape[1]
 
 
 class Router:
@@ -113,46 +115,51 @@ class Router:
 
     @classmethod
     def fit(cls, x: np.ndarray, k: int, parts: int = PARTS) -> Router:
-        parts = max(1, min(parts, len(x) // 64))
-        if parts == 1:
-            return cls(np.zeros((x.shape[1] + 1, 1)), 1)
-        test = np.arange(len(x)) % 8 == 0
+        test = np.arange(len(x)) % 8 == 0 if len(x) > 8 else np.zeros(len(x), bool)
         train = x[~test]
-        graph = neighbours(train, NEIGHBOURS)
-        w = fit_router(train, balanced_parts(train, graph, parts), parts)
-        return cls(w, min(parts, probes_needed(x, w, k)))
+        parts = min(parts, len(train))
+        w = fit_router(train, balanced_parts(train, neighbours(train, NEIGHBOURS), parts), parts)
+        return cls(w, min(parts, probes_needed(x, test, w, k)))
 
 
-def approximate_top_k(vectors: DataFrame, k: int = 20, every: int = 20, parts: int = PARTS) -> DataFrame:
+def approximate_top_k(vectors: DataFrame, k: int = 20, every: int = 20, parts: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: of each query (vec_id divisible by ``every``) the k rows found with the largest inner product."""
     rows = stash(usable(vectors, nonzero=True), "vectors")
     dims = rows.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
     if dims is None:
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
-    rows, n = rows.where(F.size("v") == dims["dim"]), dims["count"]
+    dim, n = dims["dim"], dims["count"]
     h = F.xxhash64("vec_id", "v")
-    sample = rows.select("v", "vec_id", h.alias("h")).where(F.pmod("h", F.lit(1 << 20)) < min(1 << 20, int(1.2 * SAMPLE / n * (1 << 20)) + 1)).orderBy("h", "vec_id").limit(SAMPLE).toPandas()
-    router = Router.fit(matrix(sample["v"]), k, parts)
+    sample = rows.where(F.size("v") == dim).select("v", "vec_id", h.alias("h")).where(F.pmod("h", F.lit(1 << 20)) < min(1 << 20, int(1.2 * SAMPLE / n * (1 << 20)) + 1)).orderBy("h", "vec_id").limit(SAMPLE).toPandas()
+    router = Router.fit(matrix(sample["v"]), k, parts or max(PARTS, min(SAMPLE // LEAST_ROWS, n // PART_ROWS)))
     weights, probes = router.weights, router.probes
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                yield pd.DataFrame({"vec_id": b["vec_id"], "v": b["v"], "parts": list(ranked_parts(matrix(b["v"]), weights).astype(np.int32))})
+                sizes = b["v"].map(len)
+                usual = (sizes == dim).to_numpy()
+                ranked = np.empty(len(b), object)
+                if usual.any():
+                    for i, of in zip(np.flatnonzero(usual), ranked_parts(matrix(b["v"][usual]), weights).astype(np.int32)):
+                        ranked[i] = of
+                for i in np.flatnonzero(~usual):
+                    ranked[i] = np.array([-sizes.iloc[i]], np.int32)
+                yield pd.DataFrame({"vec_id": b["vec_id"], "v": b["v"], "parts": ranked})
 
     routed = stash(rows.mapInPandas(route, "vec_id long, v array<double>, parts array<int>"), "routed")
     data = routed.select("vec_id", "v", F.col("parts")[0].alias("part"))
-    sizes = {r["part"]: r["count"] for r in data.groupBy("part").count().collect()}
+    sizes = {**dict.fromkeys(range(weights.shape[1]), 0), **{r["part"]: r["count"] for r in data.groupBy("part").count().collect()}}
     queries = routed.where(F.pmod("vec_id", F.lit(every)) == 0).groupBy("vec_id").agg(F.min(F.struct("v", "parts")).alias("q")).select("vec_id", "q.v", "q.parts")
 
-    blocks_of = {p: max(1, -(-sizes.get(p, 0) // DATA_ROWS)) for p in range(weights.shape[1])}
+    blocks_of = {p: max(1, -(-size // DATA_ROWS)) for p, size in sizes.items()}
     count = F.element_at(F.create_map(*[F.lit(x) for kv in blocks_of.items() for x in kv]), F.col("part"))
     query_blocks = max(1, -(-n * probes // (every * weights.shape[1] * QUERY_ROWS)))
     at = lambda blocks: F.pmod(F.xxhash64("vec_id", "v"), blocks).cast("int")
     data = data.withColumn("db", at(count)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
 
     # the fewest parts, from the most probable on, that hold k other rows (and the query) and are ``probes`` at least
-    held = F.transform("parts", lambda p: F.element_at(F.create_map(*[F.lit(x) for q in range(weights.shape[1]) for x in (q, sizes.get(q, 0))]), p))
+    held = F.transform("parts", lambda p: F.element_at(F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv]), p))
     short = F.size(F.filter(F.transform(F.sequence(F.lit(1), F.size("parts")), lambda i: F.aggregate(F.slice(held, F.lit(1), i), F.lit(0).cast("long"), lambda a, x: a + x)), lambda s: s <= k))
     queries = queries.withColumn("part", F.explode(F.slice("parts", F.lit(1), F.greatest(F.lit(probes), short + 1)))).withColumn("qb", at(F.lit(query_blocks)))
     queries = queries.withColumn("db", F.explode(F.sequence(F.lit(0), count - 1)))

@@ -55,6 +55,37 @@ def test_trees_cover_and_prune_right(clustered, leaf):
         assert [(int(ids[j]), float(v)) for j, v in zip(d[q == k], s[q == k])] == [(a, float(b)) for a, b in brute(x, ids, 50 * k, 5, 64)]
 
 
+def test_pairs_of_nodes_are_pruned(clustered):
+    ids, x = clustered
+    z, counts = np.floor(64 * x), {"opened": 0, "pruned": 0, "compared": 0}
+    dual_search(ids, z, ids, z, 5, 8, counts=counts)
+    every = len(leaves(cover_tree(z, 8))) ** 2
+    assert counts["pruned"] > 0 and counts["compared"] < every / 2
+
+
+def test_scores_beyond_doubles():
+    ids = np.arange(4)
+    q, d = np.array([[2.0**28, 1.0]]), np.array([[2.0**28, i] for i in (1.0, 2.0, 3.0, 4.0)])
+    _, rows, scores = dual_search(np.array([9]), q, ids, d, 2)
+    assert rows.tolist() == [3, 2] and scores.tolist() == [2**56 + 4, 2**56 + 3]
+    with pytest.raises(ValueError, match="64 bits"):
+        dual_search(np.array([9]), q * 2.0**10, ids, d * 2.0**10, 2)
+
+
+@pytest.mark.parametrize("rows", [64, 150])
+def test_several_blocks_give_the_same(spark, clustered, monkeypatch, rows):
+    monkeypatch.setattr("shoal.llm.covertree.DATA_ROWS", rows)
+    test_exact(spark, clustered)
+
+
+def test_repeated_queries_and_mixed_lengths(spark):
+    """Of rows that repeat a query's vec_id the smallest vector is the query; vectors meet those of their own length."""
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [0.0, 2.0]), (2, [3.0, 0.0]), (20, [1.0, 1.0, 1.0]), (3, [0.0, 0.0, 2.0])]
+    for search in (exact_top_k, approximate_top_k):
+        got = {(r["query_id"], r["rank"], r["vec_id"]) for r in search(table(spark, [(i, v, 0, "x", 1) for i, v in rows])).collect()}
+        assert got == {(0, 1, 1), (0, 2, 2), (20, 1, 3)}
+
+
 def test_approximate_recall(spark, clustered):
     ids, x = clustered
     got = {}
