@@ -17,10 +17,12 @@ BATCH_BYTES = 4 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or, where it is unset and Spark is one process (tests), a temporary one."""
     conf = spark.sparkContext.getConf()
     folder = conf.get("spark.checkpoint.dir") or spark.conf.get("shoal.shared.dir", None)
     if not folder:
+        if not conf.get("spark.master", "").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="shoal-")
         spark.conf.set("shoal.shared.dir", folder)
     return folder.rstrip("/")

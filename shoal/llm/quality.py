@@ -2,13 +2,15 @@
 
 Overlapping heuristic labellers each say junk, good or nothing of a document. Expectation-maximisation over the counts
 of all documents' vote patterns estimates how often each labeller says what of good and of junk documents (a labeller may be
-inaccurate), and so the probability that a pattern is of a good document. These posteriors are soft labels of a linear scorer
-over hashed word shapes, fitted on at most SAMPLE documents; it scores every document.
+inaccurate), and how many documents are good, and so the probability that a pattern is of a good document. These posteriors are soft labels of a
+linear scorer over hashed word shapes, fitted on at most SAMPLE documents; it scores every document.
 
-Vote patterns are 3**8 at most and only their counts reach the driver; they cover all documents.
+Vote patterns are 3**8 at most and only their counts reach the driver; they cover all documents. EM starts from: a document is doubted if any
+labeller says junk. What is taken of labellers before any document is seen weighs as PRIOR documents, whatever the size of the table.
 
-Defined cases: null or empty text has no words: one labeller says junk, the others nothing; repeated rows count and are scored
-each; a null doc_id is kept; an empty table gives an empty result.
+Defined cases: null or empty text has no words: one labeller says junk, the others nothing; documents whose votes tie have the same label, and those
+whose shapes tie the same score; repeated rows count and are scored each; a null doc_id is kept; a text of any length is judged as a whole, by shares
+of its words; extra columns of any name stay in ``_row``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -55,8 +57,11 @@ def features(words: list[bytes], shapes: Shapes) -> tuple[list[int], list[float]
     return [*found, BUCKETS - 1], [*((c / n) ** 0.5 for c in found.values()), (again / n) ** 0.5]
 
 
-def _junk_over(share: float, limit: float) -> int:
-    return JUNK if share > limit else NOTHING
+def _says(count: float, n: int, junk: float, good: float = 0.0) -> int:
+    """By a count's share of n words; FEW more words are taken to have none of it, so that a word or two prove nothing. A labeller that looks for one kind of
+    junk says nothing where there is none, as other kinds may be there."""
+    share = count / (n + FEW)
+    return JUNK if share > junk else GOOD if share < good else NOTHING
 
 
 def votes(text: bytes, words: list[bytes]) -> list[int]:
@@ -64,48 +69,47 @@ def votes(text: bytes, words: list[bytes]) -> list[int]:
     n = len(words)
     if n == 0:
         return [JUNK] + [NOTHING] * (len(LABELLERS) - 1)
-    if n < 5:
-        return [NOTHING] * len(LABELLERS)
-    kinds, symbols, shouted, plain = Counter(words), 0, 0, 0
+    kinds, symbols, shouted, odd = Counter(words), 0, 0, 0
     for w, c in kinds.items():
-        if _PLAIN.fullmatch(w):
-            plain += c
-        elif w.endswith(b"!!"):
-            shouted += c
-        elif _SYMBOLS.search(w):
-            symbols += c
+        if not _PLAIN.fullmatch(w):
+            odd += c
+            if w.endswith(b"!!"):
+                shouted += c
+            elif _SYMBOLS.search(w):
+                symbols += c
     again = sum(map(eq, words, words[1:]))
+    upper, letters = sum(map(text.count, _UPPER)), sum(map(len, words))
+    seen = [len({*words[i : i + WINDOW]}) for i in range(0, n, WINDOW)]
     return [
-        NOTHING,
-        _junk_over(symbols / n, 0.2),
-        _junk_over((kinds[b"|"] + kinds[b"||"]) / n, 0.2),
-        _junk_over(shouted / n, 0.2),
-        _junk_over(sum(map(text.count, _UPPER)) / sum(map(len, words)), 0.5),
-        _junk_over(again / n, 0.2),
-        _junk_over(n / len(kinds), 7) if 50 <= n <= 5000 else NOTHING,
-        JUNK if plain < 0.4 * n else GOOD if plain > 0.85 * n else NOTHING,
+        GOOD if n > WINDOW else NOTHING,
+        _says(symbols, n, 0.2),
+        _says(kinds[b"|"] + kinds[b"||"], n, 0.2),
+        _says(shouted, n, 0.2),
+        _says(n * upper / letters, n, 0.5, 0.1),
+        _says(again, n, 0.2),
+        _says(n - sum(seen), n, 0.7, 0.5),
+        _says(odd, n, 0.4, 0.15),
     ]
 
 
 #: Words of letters with at most one capital first and one mark after
 _PLAIN = re.compile(rb"[A-Za-z\x80-\xff][a-z\x80-\xff]*[.,;:?!]?")
 _UPPER = [bytes([b]) for b in range(65, 91)]
-#: No words; words that end in symbols; cells of a table; words that end in !!; capitals; words that repeat the one before; few different words;
-#: few plain words (or most).
-LABELLERS = ("length", "symbols", "cells", "shouts", "capitals", "repeats", "variety", "plain")
-#: What a labeller is taken to say before any document is seen, as shares of junk and good votes. Rows: good, junk documents. It weighs PRIOR of all.
-EXPECTED = np.array([[0.01, 0.0, 0.8], [0.25, 0.0, 0.3]])
-PRIOR = 0.3
-#: Share of good documents. Votes that are mostly of one side can't tell it, so it is given.
-GOOD_SHARE = 0.85
+#: Words taken to be there without anything odd, and words among which repeats are counted.
+FEW, WINDOW = 5, 100
+#: No words (or many); words that end in symbols; cells of a table; words that end in !!; capitals; words that repeat the one before; words that repeat
+#: one of their window; words that aren't plain.
+LABELLERS = ("length", "symbols", "cells", "shouts", "capitals", "repeats", "variety", "odd")
+#: What a labeller is taken to say (junk, nothing, good) of good and of junk documents, and how many documents are taken to be junk and good, before any
+#: is seen; as shares, which weigh as PRIOR documents.
+EXPECTED = np.array([[0.01, 0.19, 0.8], [0.3, 0.3, 0.4]])
+EXPECTED_JUNK, PRIOR = 0.2, 20.0
 
 
 def label_model(patterns: dict[str, int], rounds: int = 100) -> dict[str, float]:
     """Posterior probability of good for each vote pattern, by EM.
 
-    A labeller's accuracy is how often it says junk, or good, of each class; saying nothing is no evidence. EM starts from: a
-    document is doubted if any labeller says junk. Expectations (labellers are better than chance) weigh in as PRIOR of all documents, at
-    every size of the table.
+    A labeller's accuracy is how often it says junk, or good, of each class; saying nothing is no evidence.
     """
     if not patterns:
         return {}
@@ -114,12 +118,11 @@ def label_model(patterns: dict[str, int], rounds: int = 100) -> dict[str, float]
     good = np.where((v == JUNK).any(1), 0.1, 0.95)
     one_hot = (v[:, :, None] == np.arange(3)).astype(float)  # pattern, labeller, vote
     cast = one_hot * (np.arange(3) != NOTHING)
-    weigh = PRIOR * n.sum()
     for _ in range(rounds):
         logs = []
-        for weight, share, expected in ((n * good, GOOD_SHARE, EXPECTED[0]), (n * (1 - good), 1 - GOOD_SHARE, EXPECTED[1])):
-            says = (np.einsum("p,plv->lv", weight, one_hot) + weigh * expected) / (weight.sum() + weigh)
-            logs.append(np.log(share) + np.einsum("plv,lv->p", cast, np.log(np.maximum(says, 1e-6))))
+        for weight, share, expected in ((n * good, 1 - EXPECTED_JUNK, EXPECTED[0]), (n * (1 - good), EXPECTED_JUNK, EXPECTED[1])):
+            says = (np.einsum("p,plv->lv", weight, one_hot) + PRIOR * expected) / (weight.sum() + PRIOR)
+            logs.append(np.log((weight.sum() + PRIOR * share) / (n.sum() + PRIOR)) + np.einsum("plv,lv->p", cast, np.log(says)))
         good = sigmoid(logs[0] - logs[1])
     return {p: float(x) for p, x in zip(patterns, good)}
 

@@ -192,8 +192,11 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """Rows of ``docs``, one of each class of ``found`` (doc_id, h, class)."""
+    """Rows of ``docs``, one of each class of ``found`` (doc_id, h, class); of rows that share doc_id and text, the first by a hash of all columns."""
     stays = found.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("s")).select(F.col("s.doc_id").alias("_id"), F.col("s.h").alias("_h"))
-    rows = packed(docs, docs["doc_id"].alias("doc_id"), F.xxhash64(docs["text"]).alias("h"))
+    rows = packed(docs, docs["doc_id"].alias("doc_id"), F.xxhash64(docs["text"]).alias("h"), F.xxhash64(*[docs[c] for c in docs.columns]).alias("whole"))
     kept = rows.join(stays, rows["doc_id"].eqNullSafe(stays["_id"]) & (rows["h"] == stays["_h"]), "left_semi")
+    same = kept.groupBy("doc_id", "h").agg(F.min("whole").alias("whole"))
+    first = same.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("whole").alias("_whole"))
+    kept = kept.join(first, kept["doc_id"].eqNullSafe(first["_id"]) & (kept["h"] == first["_h"]) & (kept["whole"] == first["_whole"]), "left_semi")
     return kept.dropDuplicates(["doc_id", "h"]).select("_row.*")  # a row that is repeated whole stays once

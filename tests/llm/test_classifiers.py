@@ -1,8 +1,10 @@
+from collections import Counter
+
 import numpy as np
 import pytest
 
 from shoal.llm.linear import Rows, fit, sigmoid
-from shoal.llm.quality import label_model, score_quality
+from shoal.llm.quality import EXPECTED, EXPECTED_JUNK, PRIOR, label_model, score_quality
 from shoal.llm.toxicity import Chain, score_toxicity
 
 SF = "/root/testdata/sf0.01"
@@ -33,6 +35,49 @@ def test_label_model_weighs_labellers():
     assert post["01"] < 0.5 < post["21"] and label_model({}) == {}
 
 
+def test_label_model_is_em_of_single_documents():
+    """Brute force: the same steps, document by document, labeller by labeller."""
+    rng = np.random.default_rng(1)
+    docs = ["".join(str(2 if rng.random() < (0.7 if good else 0.4) else 0 if rng.random() < (0.02 if good else 0.5) else 1) for _ in range(4)) for good in rng.random(400) < 0.8]
+    p = [0.1 if "0" in d else 0.95 for d in docs]
+    for _ in range(100):
+        says, share = [], []
+        for k, w in enumerate((p, [1 - x for x in p])):
+            total = sum(w) + PRIOR
+            says.append([[(sum(x for x, d in zip(w, docs) if int(d[i]) == v) + PRIOR * EXPECTED[k][v]) / total for v in range(3)] for i in range(4)])
+            share.append((sum(w) + PRIOR * (EXPECTED_JUNK if k else 1 - EXPECTED_JUNK)) / (len(docs) + PRIOR))
+        odds = [[s * np.prod([says[k][i][int(v)] for i, v in enumerate(d) if v != "1"]) for k, s in enumerate(share)] for d in docs]
+        p = [a / (a + b) for a, b in odds]
+    found = label_model(dict(sorted(Counter(docs).items())))
+    assert all(found[d] == pytest.approx(x, abs=1e-9) for d, x in zip(docs, p))
+
+
+def test_chain_is_that_of_dense_rows():
+    """Brute force: the out-of-fold probabilities and models of the definition, over dense matrices."""
+    rng = np.random.default_rng(2)
+    dense = (rng.random((120, 7)) < 0.4) * rng.random((120, 7))
+    y = np.column_stack([dense[:, 0] + dense[:, 1] > 0.4, dense[:, 0] > 0.3]).astype(float)
+    y[::9, 0] = np.nan
+    folds = np.arange(120) % 5
+
+    def logistic(a, t, steps=300, rate=0.3, l2=1e-4):
+        a, w, m, v = np.column_stack([a, np.ones(len(a))]), np.zeros(a.shape[1] + 1), 0, 0
+        for i in range(1, steps + 1):
+            g = a.T @ (sigmoid(a @ w) - t) / len(a) + l2 * np.append(w[:-1], 0)
+            m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+            w = w - rate * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.99**i)) + 1e-8)
+        return lambda b: sigmoid(np.column_stack([b, np.ones(len(b))]) @ w)
+
+    known, earlier = ~np.isnan(y[:, 0]), np.zeros(120)
+    for f in range(5):
+        earlier[folds == f] = logistic(dense[known & (folds != f)], y[known & (folds != f), 0])(dense[folds == f])
+    first, second = logistic(dense[known], y[known, 0]), logistic(np.column_stack([dense, earlier]), y[:, 1])
+    p = first(dense)
+    want = np.column_stack([p, second(np.column_stack([dense, p]))])
+    x = Rows.of([np.flatnonzero(r) for r in dense], [r[r > 0] for r in dense], 7)
+    assert Chain.fit(["a", "b"], x, y, folds).predict(x) == pytest.approx(want, abs=1e-6)
+
+
 def test_chain_feeds_earlier_probabilities():
     rng = np.random.default_rng(0)
     n = 600
