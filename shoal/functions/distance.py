@@ -91,3 +91,22 @@ def register(spark: SparkSession) -> None:
     }
     for name, body in bodies.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE RETURN {body}")
+
+
+def rotation(dim: int, seed: int = 0) -> np.ndarray:
+    """A random rotation: an orthogonal matrix, the same for a seed."""
+    q, r = np.linalg.qr(np.random.default_rng(seed).normal(size=(dim, dim)))
+    return q * np.sign(np.diag(r))
+
+
+def rotated(vectors, dim: int, seed: int = 0, back: bool = False):
+    """``vectors`` (vec_id, embedding) turned by the rotation of the seed, or ``back`` again."""
+    turn = rotation(dim, seed)
+    turn = turn if back else turn.T
+
+    def run(batches):
+        for b in batches:
+            if len(b):
+                yield b.assign(embedding=list(np.array(b["embedding"].tolist(), float) @ turn))
+
+    return vectors.select("vec_id", "embedding").mapInPandas(run, "vec_id long, embedding array<double>")

@@ -92,9 +92,10 @@ def inertia(assigned: DataFrame) -> DataFrame:
 
 @dataclass
 class Balancer:
-    """Weight of a cluster's size against distance: decay * (max - mean distance) / n * (1 + deviation of sizes), of the largest cluster, clipped."""
+    """Weight of a cluster's size against distance: decay * (max - mean distance of the largest cluster) / (rows of all) * (1 + deviation of the
+    clusters' shares of all rows), clipped; nothing before any row is placed."""
 
-    decay: float = 0.1
+    decay: float = 0.95
     low: float = 0.0
     high: float = 1.0
 
@@ -102,8 +103,43 @@ class Balancer:
         if not n.sum():
             return 0.0
         c = int(n.argmax())
-        spread = float(np.std(n / n.mean()))
-        return float(np.clip(self.decay * (largest[c] - total[c] / n[c]) / n[c] * (1 + spread), self.low, self.high))
+        return float(np.clip(self.decay * (largest[c] - total[c] / n[c]) / n.sum() * (1 + np.std(n / n.sum())), self.low, self.high))
+
+
+def ratio_weight(sizes: np.ndarray, distances: np.ndarray, alpha: float = 0.5, decay: float = 0.95, low: float = 0.01, high: float = 1.0) -> float:
+    """A weight from the ratio of the largest to the smallest cluster and the spread of the centres' mean distances (``distances``: row, centre)."""
+    mean = distances.mean(0)
+    spread = np.sqrt(((mean - mean.mean()) ** 2).sum())
+    return float(np.clip(decay * (alpha * sizes.max() / (sizes.min() + 1e-6) + (1 - alpha) * spread), low, high))
+
+
+def integer_kmeans(x: np.ndarray, k: int, rounds: int = 10, weight: float = 0.0, seed: int = 0) -> tuple[np.ndarray, np.ndarray, float]:
+    """k-means of integer vectors with centres cut to integers. With a ``weight``, rows are placed one after the other, at distance + weight * rows
+    that the centre has. Centres, the centre of each row, and the summed squared distance."""
+    centers, of = random_pivots(x, k, seed).astype(np.int64), np.zeros(len(x), np.int64)
+    for _ in range(rounds):
+        d = ((x[:, None, :].astype(np.int64) - centers[None]) ** 2).sum(2)
+        if weight:
+            n = np.zeros(k)
+            for i, row in enumerate(d):
+                of[i] = (row + weight * n).argmin()
+                n[of[i]] += 1
+        else:
+            of = d.argmin(1)
+        for c in range(k):
+            if (of == c).any():
+                centers[c] = x[of == c].mean(0).astype(np.int64)
+    return centers, of, float(((x - centers[of]) ** 2).sum())
+
+
+def partition_by_kmeans(points: DataFrame, parts: int, replicas: int = 1, balanced: bool = True, seed: int = 0, sample_rows: int = SAMPLE_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Centres (part_id, center) fitted on a sample, and vec_id, replica_rank (0: owner), part_id, dist of every row: balanced, or the nearest."""
+    fitted = kmeans(points, parts, seed, sample_rows)
+    if balanced:
+        c = np.array([r["center"] for r in fitted.orderBy("part_id").collect()])  # parts are few
+        return fitted, balanced_assign(points, c, replicas)
+    near = nearest_centers(points, fitted, replicas)
+    return fitted, near.select("vec_id", (F.col("rank") - 1).alias("replica_rank"), "part_id", "dist")
 
 
 def balanced_assign(points: DataFrame, centers: np.ndarray, replicas: int = 1, balancer: Balancer | None = None, additive: bool = False) -> DataFrame:

@@ -1,7 +1,7 @@
 """Exact k-nearest-neighbour search and edits of the searched table.
 
 A search is a join of queries with all rows, in blocks: rows go to blocks of bounded size by a hash, each block of queries
-visits every block of rows, a task compares one pair of blocks as matrices and keeps its k best, and a grouped window
+visits every block of rows, a task compares one pair of blocks as matrices and sends ids and distances of its k best, and a grouped window
 merges the blocks' results. Ids are decided by (distance, vec_id).
 """
 
@@ -14,11 +14,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shoal.functions.distance import KERNELS, METRICS
+from shoal.functions.distance import KERNELS
 
 BASE_ROWS, QUERY_ROWS = 16_384, 2_048
-#: Distances of a matrix product are good to about 1e-12 of the values; candidates within this of the kth stay until
-#: the exact expression has decided.
+#: Distances of a matrix product are good to about 1e-12 of the vectors' norms; candidates within this share of them from the kth stay until
+#: exact distances have decided.
 TOLERANCE = 1e-9
 
 
@@ -40,60 +40,84 @@ def merge_top_k(parts: list[DataFrame], k: int) -> DataFrame:
     return top_k(out, k)
 
 
-def knn_join(queries: DataFrame, base: DataFrame, k: int, metric: str = "l2", keep_self: bool = True, allowed: Column | None = None, radius: float | None = None) -> DataFrame:
-    """The k nearest rows of ``base`` (vec_id, embedding) to each query (query_id, embedding).
+def whole(vectors: DataFrame) -> DataFrame:
+    """The rows that can be compared: no vector is null, empty or has a null component."""
+    v = F.col("embedding")
+    return vectors.where(v.isNotNull() & (F.size(v) > 0) & ~F.coalesce(F.exists(v, lambda x: x.isNull()), F.lit(True)))
 
-    ``allowed`` filters base before the search. With ``radius`` only rows within it count. Without ``keep_self`` a row isn't a
-    neighbour of the query of its own id. If k exceeds the rows, all are returned.
-    """
-    base = base if allowed is None else base.where(allowed)
+
+def _slack(metric: str, a: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """How far the kernel's distances of each row of a may be off."""
+    of_a, of_c = np.linalg.norm(a, axis=1), np.linalg.norm(c, axis=1).max()
+    return TOLERANCE * (1 + {"l2": of_a**2 + of_c**2, "mips": of_a * of_c, "cosine": np.ones(len(a))}[metric])
+
+
+def _measured(metric: str, a: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Distances of one vector to each row of c, without the kernel's cancellation."""
+    if metric == "l2":
+        return ((c - a) ** 2).sum(1)
+    dots = (c * a).sum(1)
+    return 1 - dots if metric == "mips" else 1 - dots / (np.linalg.norm(a) * np.linalg.norm(c, axis=1))
+
+
+def _blockwise(queries: DataFrame, base: DataFrame, metric: str, choose) -> DataFrame:
+    """query_id, vec_id, dist: of each pair of blocks, the rows that ``choose`` takes for a query (its distances by the kernel, their slack, ids, exact distances by
+    place). Vectors meet those of their own length, and stay in the task."""
+    queries, base = whole(queries), whole(base)
     nb, nq = _blocks(base.count(), BASE_ROWS), _blocks(queries.count(), QUERY_ROWS)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     # new names on both sides, which may come of one table
-    q = queries.select(F.col("query_id").alias("q_id"), F.col("embedding").alias("q_v"), F.pmod(F.xxhash64("query_id"), F.lit(nq)).alias("q_qb")).withColumn("q_bb", every(nb))
-    b = base.select(F.col("vec_id").alias("b_id"), F.col("embedding").alias("b_v"), F.pmod(F.xxhash64("vec_id"), F.lit(nb)).alias("b_bb")).withColumn("b_qb", every(nq))
+    q = queries.select(F.col("query_id").alias("q_id"), F.col("embedding").alias("q_v"), F.size("embedding").alias("q_n"), F.pmod(F.xxhash64("query_id"), F.lit(nq)).alias("q_qb")).withColumn("q_bb", every(nb))
+    b = base.select(F.col("vec_id").alias("b_id"), F.col("embedding").alias("b_v"), F.size("embedding").alias("b_n"), F.pmod(F.xxhash64("vec_id"), F.lit(nb)).alias("b_bb")).withColumn("b_qb", every(nq))
     kernel = KERNELS[metric]
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "q": [], "vec_id": [], "v": []}, dtype=object)
-        a, c = np.array(left["q_v"].tolist(), float), np.array(right["b_v"].tolist(), float)
-        qi, bi = left["q_id"].to_numpy(), right["b_id"].to_numpy()
-        d = kernel(a, c)
+        ids, rows, dists = [], [], []
+        if len(left) and len(right):
+            a, c = np.array(left["q_v"].tolist(), float), np.array(right["b_v"].tolist(), float)
+            qi, bi = left["q_id"].to_numpy(), right["b_id"].to_numpy()
+            slack = _slack(metric, a, c)
+            for i, d in enumerate(kernel(a, c)):
+                found, dist = choose(qi[i], d, slack[i], bi, lambda at, i=i: _measured(metric, a[i], c[at]))
+                ids.append(np.full(len(found), qi[i]))
+                rows.append(bi[found])
+                dists.append(dist)
+        none = [np.zeros(0)]
+        return pd.DataFrame({"query_id": np.concatenate(ids or none).astype(np.int64), "vec_id": np.concatenate(rows or none).astype(np.int64), "dist": np.concatenate(dists or none)})
+
+    return q.groupBy("q_n", "q_qb", "q_bb").cogroup(b.groupBy("b_n", "b_qb", "b_bb")).applyInPandas(search, "query_id long, vec_id long, dist double")
+
+
+def knn_join(queries: DataFrame, base: DataFrame, k: int, metric: str = "l2", keep_self: bool = True, allowed: Column | None = None, radius: float | None = None) -> DataFrame:
+    """The k nearest rows of ``base`` (vec_id, embedding) to each query (query_id, embedding).
+
+    ``allowed`` filters base before the search. With ``radius`` only rows within it count. Without ``keep_self`` a row isn't a
+    neighbour of the query of its own id. If k exceeds the rows, all are returned. Vectors that are null or incomplete take no part; a
+    task sends k rows of a query at most, however many tie.
+    """
+
+    def choose(query_id, d, slack, ids, measure):
         if not keep_self:
-            d[qi[:, None] == bi[None, :]] = np.inf
-        edge = np.partition(d, k - 1, axis=1)[:, k - 1 : k] if d.shape[1] > k else np.full((len(d), 1), np.inf)
-        if radius is not None:
-            edge = np.minimum(edge, radius)
-        r, s = np.nonzero((d <= edge + TOLERANCE * (1 + np.abs(edge))) & np.isfinite(d))
-        return pd.DataFrame({"query_id": qi[r], "q": left["q_v"].to_numpy()[r], "vec_id": bi[s], "v": right["b_v"].to_numpy()[s]})
+            d = np.where(ids == query_id, np.inf, d)
+        edge = np.partition(d, k - 1)[k - 1] if len(d) > k else np.inf
+        near = np.flatnonzero((d <= (edge if radius is None else min(edge, radius)) + 2 * slack) & np.isfinite(d))
+        dist = measure(near)
+        order = np.lexsort((ids[near], dist))[:k]
+        order = order if radius is None else order[dist[order] <= radius]
+        return near[order], dist[order]
 
-    kind = base.schema["embedding"].dataType.simpleString()
-    found = q.groupBy("q_qb", "q_bb").cogroup(b.groupBy("b_qb", "b_bb")).applyInPandas(search, f"query_id long, q {kind}, vec_id long, v {kind}")
-    found = found.select("query_id", "vec_id", METRICS[metric](F.col("q"), F.col("v")).alias("dist"))
-    return top_k(found if radius is None else found.where(F.col("dist") <= radius), k)
+    return top_k(_blockwise(queries, base if allowed is None else base.where(allowed), metric, choose), k)
 
 
 def range_search(queries: DataFrame, base: DataFrame, radius: float, metric: str = "l2", keep_self: bool = False) -> DataFrame:
     """All rows within ``radius``, however many: query_id, vec_id, dist."""
-    nb, nq = _blocks(base.count(), BASE_ROWS), _blocks(queries.count(), QUERY_ROWS)
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    # new names on both sides, which may come of one table
-    q = queries.select(F.col("query_id").alias("q_id"), F.col("embedding").alias("q_v"), F.pmod(F.xxhash64("query_id"), F.lit(nq)).alias("q_qb")).withColumn("q_bb", every(nb))
-    b = base.select(F.col("vec_id").alias("b_id"), F.col("embedding").alias("b_v"), F.pmod(F.xxhash64("vec_id"), F.lit(nb)).alias("b_bb")).withColumn("b_qb", every(nq))
-    kernel = KERNELS[metric]
 
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "q": [], "vec_id": [], "v": []}, dtype=object)
-        d = kernel(np.array(left["q_v"].tolist(), float), np.array(right["b_v"].tolist(), float))
-        r, s = np.nonzero(d <= radius + TOLERANCE * (1 + abs(radius)))
-        return pd.DataFrame({"query_id": left["q_id"].to_numpy()[r], "q": left["q_v"].to_numpy()[r], "vec_id": right["b_id"].to_numpy()[s], "v": right["b_v"].to_numpy()[s]})
-
-    kind = base.schema["embedding"].dataType.simpleString()
-    found = q.groupBy("q_qb", "q_bb").cogroup(b.groupBy("b_qb", "b_bb")).applyInPandas(search, f"query_id long, q {kind}, vec_id long, v {kind}")
-    found = found.select("query_id", "vec_id", METRICS[metric](F.col("q"), F.col("v")).alias("dist")).where(F.col("dist") <= radius)
-    return found if keep_self else found.where(F.col("query_id") != F.col("vec_id"))
+    def choose(query_id, d, slack, ids, measure):
+        near = np.flatnonzero((d <= radius + slack) & (keep_self | (ids != query_id)))
+        dist = measure(near)
+        return near[dist <= radius], dist[dist <= radius]
+
+    return _blockwise(queries, base, metric, choose)
 
 
 def upsert(base: DataFrame, updates: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from shoal.functions.distance import l2_sq
 from shoal.operators.exact import knn_join
+from shoal.operators.lineage import cut
 
 INLINE = 2
 
@@ -151,12 +152,13 @@ def part_skew(placed: DataFrame) -> DataFrame:
 
 
 def hops(edges: DataFrame, entry: DataFrame, most: int = 5) -> DataFrame:
-    """hop, vec_id: nodes by their distance in edges from the entry nodes (vec_id), breadth first."""
+    """hop, vec_id: nodes by their distance in edges from the entry nodes (vec_id), breadth first; lineage is cut at each hop."""
+    edges = cut(edges)
     seen = entry.select(F.lit(0).alias("hop"), "vec_id")
     frontier = seen
     for h in range(1, most + 1):
         reached = frontier.join(edges, frontier["vec_id"] == edges["src"]).select(F.col("dst").alias("vec_id")).distinct()
-        frontier = reached.join(seen.select("vec_id"), "vec_id", "left_anti").select(F.lit(h).alias("hop"), "vec_id")
+        frontier = cut(reached.join(seen.select("vec_id"), "vec_id", "left_anti").select(F.lit(h).alias("hop"), "vec_id"))
         seen = seen.unionByName(frontier)
     return seen
 

@@ -61,6 +61,22 @@ def retrieve(vectors: DataFrame, assigned: DataFrame) -> DataFrame:
     return assigned.join(vectors, "vec_id")
 
 
+def reordered(vectors: DataFrame, positions: DataFrame) -> DataFrame:
+    """pos and all columns of ``vectors``, range-sorted by position."""
+    return positions.select("vec_id", "pos").join(vectors, "vec_id").orderBy("pos")
+
+
+def reorder_differences(ordered: DataFrame, vectors: DataFrame, positions: DataFrame) -> DataFrame:
+    """Rows that a reordering lost, made up or put at another position; empty if it is right."""
+    want = vectors.join(positions.select("vec_id", "pos"), "vec_id").select(*ordered.columns)
+    return ordered.exceptAll(want).unionByName(want.exceptAll(ordered))
+
+
+def part_labels(labelled: DataFrame, assigned: DataFrame) -> DataFrame:
+    """part_id, vec_id, labels: the labels of every part's rows (``labelled``: vec_id, labels); a row of several parts is in each."""
+    return assigned.select("part_id", "vec_id").distinct().join(labelled, "vec_id").select("part_id", "vec_id", "labels")
+
+
 def write_parts(vectors: DataFrame, assigned: DataFrame, path: str) -> None:
     retrieve(vectors, assigned).repartition("part_id").write.mode("overwrite").partitionBy("part_id").parquet(path)
 

@@ -6,12 +6,15 @@ the same rows, numbered from 0 in vec_id order; there are PARTS ranges or groups
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoal.functions import distance as D
-from shoal.operators import cluster, evaluate, exact, graph, partition, sample, search
+from shoal.operators import cluster, evaluate, exact, graph, lineage, partition, sample, search
+from shoal.sources import index
 
 K, PARTS, DEGREE, EVERY = 10, 4, 8, 100
 
@@ -310,6 +313,36 @@ def cluster_sizes(v):
     return partition.part_sizes(exact.nearest_centers(v, centers(v), 2))
 
 
+@query(f"WITH {POS_SQL} SELECT pos, vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 6) AS total FROM pos JOIN embeddings USING (vec_id)")
+def reorder_vectors(v):
+    """Vectors in the order of their positions."""
+    rows = partition.reordered(v, partition.position_map(partition.range_parts(v, PARTS)))
+    return rows.select("pos", "vec_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double")), 6).alias("total"))
+
+
+@query(f"WITH {NEAR_SQL} SELECT part_id, vec_id, (label + 1)::BIGINT AS n_labels FROM near JOIN embeddings USING (vec_id) WHERE rank <= 2")
+def shard_labels(v):
+    rows = partition.part_labels(_labelled(v), partition.replica_parts(v, centers(v)))
+    return rows.select("part_id", "vec_id", F.size("labels").cast("long").alias("n_labels"))
+
+
+@query(f"SELECT vec_id, round({sql_ip('embedding', 'embedding')}, 6) AS norm_sq FROM embeddings")
+def random_rotation(v):
+    """A rotation keeps norms."""
+    turned = D.rotated(v, v.agg(F.max(F.size("embedding"))).first()[0] or 0, 5)
+    return rounded(turned.select("vec_id", D.norm_sq(F.col("embedding")).alias("norm_sq")), "norm_sq")
+
+
+@query(f"WITH {POS_SQL}, {GRAPH_SQL} SELECT pos.part_id, count(*) AS n_edges, sum(dst)::BIGINT AS of_dst FROM g JOIN pos ON g.src = pos.vec_id GROUP BY pos.part_id")
+def index_round_trip(v):
+    """Positions and edges written as an index and read again."""
+    spark = v.sparkSession
+    path = f"{lineage.shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    index.write_index(path, positions=partition.position_map(partition.range_parts(v, PARTS)), edges=graph.knn_graph(v, DEGREE).select("src", "dst"))
+    placed = index.read_index(spark, path, "edges").join(index.read_index(spark, path, "positions"), F.col("src") == F.col("vec_id"))
+    return placed.groupBy("part_id").agg(F.count("*").alias("n_edges"), F.sum("dst").alias("of_dst"))
+
+
 # --- routing ----------------------------------------------------------------------------------------------------
 
 
@@ -347,6 +380,13 @@ def kmeans_routed_any(v):
     return _routed(v, "any")
 
 
+@query(_routed_sql('SELECT query_id, part_id FROM route WHERE "primary"'))
+def ann_kmeans_routed(v):
+    """Graph search in the routed parts only, with ef no less than a part and a ring in each part, so exact in them."""
+    route = partition.routes(_coarse(v), PARTS, "share").where("primary")
+    return ranked(search.kmeans_routed(query_set(v), route, _ringed_parts(v), v, K, v.count()))
+
+
 # --- graphs -----------------------------------------------------------------------------------------------------
 
 
@@ -451,6 +491,14 @@ def _whole(v: DataFrame) -> DataFrame:
     return lists.withColumn("entry", F.lit(0).cast("long"))
 
 
+def _ringed_parts(v: DataFrame) -> DataFrame:
+    """Pruned graphs of the parts, with a ring in each, so that every row of a part can be reached."""
+    graphs = graph.build_part_graphs(partition.range_parts(v, PARTS).join(v, "vec_id"), DEGREE, 20)
+    of_part = Window.partitionBy("part_id")
+    nxt = F.coalesce(F.lead("vec_id").over(of_part.orderBy("vec_id")), F.min("vec_id").over(of_part))
+    return graphs.withColumn("neighbors", F.array_distinct(F.concat("neighbors", F.array(nxt))))
+
+
 @query(knn_sql())
 def ann_single(v):
     """With ef no less than the table, so exact."""
@@ -460,12 +508,7 @@ def ann_single(v):
 @query(knn_sql())
 def ann_shared_nothing(v):
     """On pruned graphs of the parts, with ef no less than a part and a ring in each part, so exact."""
-    parts = partition.range_parts(v, PARTS).join(v, "vec_id")
-    graphs = graph.build_part_graphs(parts, DEGREE, 20)
-    of_part = Window.partitionBy("part_id")
-    nxt = F.coalesce(F.lead("vec_id").over(of_part.orderBy("vec_id")), F.min("vec_id").over(of_part))
-    ringed = graphs.withColumn("neighbors", F.array_distinct(F.concat("neighbors", F.array(nxt))))
-    return ranked(search.shared_nothing(query_set(v), ringed, v, K, v.count()))
+    return ranked(search.shared_nothing(query_set(v), _ringed_parts(v), v, K, v.count()))
 
 
 @query(knn_sql())

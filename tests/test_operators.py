@@ -223,3 +223,85 @@ def test_more_centers_than_are_sent_to_all_tasks(spark, monkeypatch, metric, k):
     sent = got()
     monkeypatch.setattr(exact, "MAX_CENTERS", 5)
     assert got() == sent and len(sent) == 80 * k
+
+
+def test_weight_of_sizes_by_hand():
+    n, total, largest = np.array([6.0, 2.0]), np.array([12.0, 2.0]), np.array([5.0, 1.5])
+    want = 0.95 * (5 - 12 / 6) / 8 * (1 + np.sqrt(((6 / 8 - 0.5) ** 2 + (2 / 8 - 0.5) ** 2) / 2))
+    assert cluster.Balancer().weight(n, total, largest) == pytest.approx(want)
+    assert cluster.ratio_weight(np.array([4, 4]), np.array([[0.1, 0.1]])) == pytest.approx(0.95 * 0.5 * 4 / (4 + 1e-6))
+
+
+def test_integer_kmeans():
+    x = np.array([[0, 0], [1, 0], [100, 100], [101, 101], [100, 103]])
+    centers, of, cost = cluster.integer_kmeans(x, 2)
+    assert of[0] == of[1] != of[2] == of[3] == of[4] and centers.dtype == np.int64
+    assert cost == ((x - centers[of]) ** 2).sum()
+    _, even, _ = cluster.integer_kmeans(np.repeat([[5, 5]], 8, 0), 2, weight=1.0)
+    assert np.bincount(even).tolist() == [4, 4]
+
+
+def test_search_leaves_out_incomplete_vectors_and_cuts_ties(spark):
+    rows = [(i, [1.0, 0.0]) for i in range(30)] + [(100, None), (101, [None, 1.0]), (102, []), (103, [1.0, 2.0, 3.0])]
+    base = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    queries = base.select(F.col("vec_id").alias("query_id"), "embedding")
+    found = {}
+    for r in exact.knn_join(queries, base, 3).collect():
+        found.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert sorted(found) == [*range(30), 103] and found[103] == [103]
+    assert all(sorted(v) == [0, 1, 2] for q, v in found.items() if q < 30)
+
+
+def test_collaborative_search_shares_work_among_primary_parts(spark):
+    rng = np.random.default_rng(5)
+    c = rng.normal(size=(6, 8)) * 2
+    x = c[np.arange(240) % 6] + 0.4 * rng.normal(size=(240, 8))
+    base = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    queries = base.where("vec_id % 40 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    edges = graph.knn_graph(base, 6).select("src", "dst")
+    edges = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct().cache()
+    assigned, trace = partition.range_parts(base, 3), []
+    found = search.collaborative(queries, search.top_index(base, 0.3), assigned, edges, base, 3, 5, 40, trace=trace).collect()
+    truth = {(r["query_id"], r["vec_id"]) for r in exact.knn_join(queries, base, 5).collect()}
+    assert len(truth & {(r["query_id"], r["vec_id"]) for r in found}) >= 0.9 * len(truth)
+    read = search.accesses(trace).collect()
+    assert len({(r["query_id"], r["vec_id"]) for r in read}) == len(read)  # no row is expanded twice for a query
+    assert max(sum(r["query_id"] == q and r["step"] == 1 and r["part"] == p for r in read) for q in range(0, 240, 40) for p in range(3)) <= 4
+    owner = {r["vec_id"]: r["part_id"] for r in assigned.collect()}
+    parts = {q: {r["part"] for r in read if r["query_id"] == q} for q in range(0, 240, 40)}
+    assert all(r["part"] == owner[r["vec_id"]] or owner[r["vec_id"]] not in parts[r["query_id"]] for r in read)
+
+
+def test_rotation_and_back(spark):
+    base = spark.createDataFrame([(0, [1.0, 2.0, 3.0]), (1, [0.0, -1.0, 0.5])], "vec_id long, embedding array<double>")
+    there = D.rotated(base, 3, 4)
+    back = {r["vec_id"]: r["embedding"] for r in D.rotated(there, 3, 4, back=True).collect()}
+    assert back[0] == pytest.approx([1, 2, 3]) and back[1] == pytest.approx([0, -1, 0.5])
+    assert there.first()["embedding"] != pytest.approx([1, 2, 3])
+
+
+def test_index_is_written_and_read(spark, tmp_path):
+    from shoal.sources import index
+
+    positions = spark.createDataFrame([(5, 0, 0), (7, 1, 1)], "vec_id long, part_id long, pos long")
+    index.write_index(str(tmp_path), positions=positions)
+    index.write_index(str(tmp_path), append=True, positions=positions.withColumn("vec_id", F.col("vec_id") + 10))
+    assert sorted(tuple(r) for r in index.read_index(spark, str(tmp_path), "positions").select("vec_id", "part_id", "pos").collect()) == [(5, 0, 0), (7, 1, 1), (15, 0, 0), (17, 1, 1)]
+    with pytest.raises(ValueError):
+        index.write_index(str(tmp_path), other=positions)
+
+
+def test_a_wrong_order_is_found(spark):
+    base = spark.createDataFrame([(i, [float(i)]) for i in range(6)], "vec_id long, embedding array<double>")
+    positions = partition.position_map(partition.range_parts(base, 2))
+    ordered = partition.reordered(base, positions)
+    assert partition.reorder_differences(ordered, base, positions).isEmpty()
+    assert partition.reorder_differences(ordered.withColumn("pos", (F.col("pos") + 1) % 6), base, positions).count() == 12
+
+
+def test_partition_entry_point(spark):
+    base = spark.createDataFrame([(i, [float(i % 3) * 10, float(i)]) for i in range(60)], "vec_id long, embedding array<double>")
+    for balanced in (True, False):
+        fitted, assigned = cluster.partition_by_kmeans(base, 3, 2, balanced)
+        rows = assigned.collect()
+        assert fitted.count() == 3 and len(rows) == 120 and len({(r["vec_id"], r["part_id"]) for r in rows}) == 120
