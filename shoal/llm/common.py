@@ -60,9 +60,9 @@ def kept(key, make):
     return _kept[key]
 
 
-def packed(docs: DataFrame, *keys) -> DataFrame:
-    """Every column of ``docs`` in one struct ``_row`` beside ``keys``, so that no name can clash."""
-    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), *keys)
+def packed(docs: DataFrame, *keys, carry: list[str] | None = None) -> DataFrame:
+    """Every column of ``docs``, or those of ``carry``, in one struct ``_row`` beside ``keys``, so that no name can clash."""
+    return docs.select(F.struct(*[docs[c] for c in carry or docs.columns]).alias("_row"), *keys)
 
 
 def texts_of(batch: pa.RecordBatch | pa.Table, name: str = "text") -> list[bytes]:

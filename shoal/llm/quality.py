@@ -169,11 +169,11 @@ def fit_quality(docs: DataFrame) -> tuple[dict[str, float], Linear]:
     return posterior, fit(x, np.zeros((len(rows), 0)), y)
 
 
-def score_quality(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` in a struct ``_row``, with ``votes``, ``weak`` (posterior), ``score`` (probability of good) and ``keep``."""
+def score_quality(docs: DataFrame, least: float = 0.5, carry: list[str] | None = None) -> DataFrame:
+    """The rows of ``docs`` (or their columns ``carry``) in a struct ``_row``, with ``votes``, ``weak`` (posterior), ``score`` (probability of good) and ``keep``."""
     posterior, model = fit_quality(docs)
     shipped = docs.sparkSession.sparkContext.broadcast((posterior, model.weights, model.bias))
-    rows = packed(docs, F.col("text").cast("binary").alias("text"))
+    rows = packed(docs, F.col("text").cast("binary").alias("text"), carry=carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (posterior, weights, bias), shapes = shipped.value, kept("shapes", Shapes)

@@ -41,7 +41,7 @@ def op4_exact_top_k(spark, sf_dir):
 def op5_toxicity(spark, sf_dir):
     from shoal.llm.toxicity import score_toxicity
 
-    found = score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    found = score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), carry=["doc_id"])
     return found.select("_row.doc_id", F.element_at("p", 1).alias("p_junk"), F.element_at("p", 2).alias("p_toxic"), "toxic")
 
 
@@ -54,7 +54,7 @@ def op6_bpe_round_trip(spark, sf_dir):
 def op7_quality(spark, sf_dir):
     from shoal.llm.quality import score_quality
 
-    return score_quality(table(spark, sf_dir, "documents")).select("_row.doc_id", "votes", "weak", "score", "keep")
+    return score_quality(table(spark, sf_dir, "documents"), carry=["doc_id"]).select("_row.doc_id", "votes", "weak", "score", "keep")
 
 
 def op8_license_scan(spark, sf_dir):

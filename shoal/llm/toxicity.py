@@ -179,11 +179,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, Colum
     return {candidates[c]: i for i, c in enumerate(chosen)}, Chain.fit(names, x, y, found["h"].to_numpy() % FOLDS)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, Column] | None = None, most: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` in a struct ``_row``, with a probability for each category (``p``, in the chain's order) and ``toxic`` (the last is over ``most``)."""
+def score_toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, Column] | None = None, most: float = 0.5, carry: list[str] | None = None) -> DataFrame:
+    """The rows of ``docs`` (or their columns ``carry``) in a struct ``_row``, with a probability for each category (``p``, in the chain's order) and ``toxic`` (the last is over ``most``)."""
     vocabulary, model = fit_toxicity(docs, labels, categories)
     shipped = docs.sparkSession.sparkContext.broadcast((vocabulary, model))
-    rows = packed(docs, F.col("text").cast("binary").alias("text"))
+    rows = packed(docs, F.col("text").cast("binary").alias("text"), carry=carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, model = shipped.value

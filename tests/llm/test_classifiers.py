@@ -103,3 +103,12 @@ def test_awkward_rows(spark, awkward, clashing, empty):
         assert q.select("_row.*").columns == docs.columns == t.select("_row.*").columns
     assert not any(r["toxic"] for r in score_toxicity(awkward, none).collect())
     assert score_quality(empty).count() == 0 == score_toxicity(empty, labels).count()
+
+
+def test_carried_columns_change_no_result(labelled):
+    docs, labels = labelled
+    for score, of in ((lambda **o: score_quality(docs, **o), "score"), (lambda **o: score_toxicity(docs, labels, **o), "p")):
+        whole, some = score(), score(carry=["doc_id"])
+        assert some.schema["_row"].dataType.names == ["doc_id"] and whole.schema["_row"].dataType.names == docs.columns
+        a, b = ({r["doc_id"]: r[of] for r in x.select("_row.doc_id", of).collect()} for x in (whole, some))
+        assert a == b
