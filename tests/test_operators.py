@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shoal.functions import distance as D
-from shoal.operators import cluster, evaluate, exact, graph, partition, sample, search
+from shoal.operators import cluster, evaluate, exact, graph, lineage, partition, sample, search
 from shoal.sources import binary, labels
 from shoal.sources.schema import check_vectors
 
@@ -214,6 +214,28 @@ def test_supersteps_with_the_met_rows_compacted(spark, monkeypatch):
     test_global_pull_from_one_entry(spark)
 
 
+def test_what_is_cut_has_the_size_of_its_files(spark):
+    df = spark.range(20).select("id", F.col("id").alias("x"))
+    for i in range(6):  # estimates that go on would be products of all steps'
+        df = lineage.cut(df.join(df.select("id", F.col("x").alias("y")), "id").select("id", F.col("y").alias("x")))
+    assert df.count() == 20 and int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < 1_000_000
+
+
+def test_supersteps_compute_the_edges_once(spark):
+    v = table(spark, [(i, [i, 0]) for i in range(12)])
+    met = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            met.add(len(b))
+            yield b
+
+    edges = spark.createDataFrame([(i, j) for i in range(12) for j in (i - 1, i + 1) if 0 <= j < 12], "src long, dst long")
+    q = table(spark, [(0, [9.2, 0])], "query_id")
+    assert found(search.global_pull(q, edges.mapInPandas(counted, "src long, dst long"), v, v.where("vec_id = 0"), 2, 4, beam=2)) == [(0, 9), (0, 10)]
+    assert met.value == 22
+
+
 @pytest.mark.parametrize("metric, k", [("l2", 1), ("l2", 3), ("cosine", 2)])
 def test_more_centers_than_are_sent_to_all_tasks(spark, monkeypatch, metric, k):
     random.seed(4)
