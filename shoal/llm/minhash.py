@@ -1,6 +1,8 @@
 """Near-duplicates by the Jaccard similarity of sets of word shingles.
 
-Candidates share at least one of BANDS keys, each made of ROWS minima of hashes (MinHash): a pair of similarity s is left out with
+Candidates share a key of one of two kinds. The deletion-variant signatures of ``simhash``, of the fingerprints of the sets, find all pairs whose fingerprints differ in
+at most SIGNATURE_BITS bits; those of similarity 0.8 mostly differ in more, at which the signatures' segments would be too short. The others share at least one of BANDS keys, each
+made of ROWS minima of hashes (MinHash): a pair of similarity s is left out with
 probability (1 - s**ROWS)**BANDS, which is 5e-8 at 0.8 and less above. Every link is then verified on the whole sets.
 
 Texts of equal sets are one node from the start. Of the pairs of a key's group, only those between different classes and of sizes that
@@ -27,9 +29,11 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from shoal.llm.common import map_arrow, stash, texts_of
-from shoal.llm.simhash import _relabel, components, one_of_each, shingles
+from shoal.llm.simhash import _relabel, components, near, one_of_each, shingles, simhash, variants
 
 BANDS, ROWS = 32, 4
+#: Differing bits up to which the deletion-variant signatures find all pairs.
+SIGNATURE_BITS = 4
 #: Places of a sketch.
 BITS = 512
 #: Places in which shingles are counted (an array of 2 MB, whatever the input).
@@ -61,22 +65,23 @@ def sketch(of: np.ndarray) -> np.ndarray:
 
 
 def prints_of(docs: DataFrame, words: int, seed: int) -> DataFrame:
-    """doc_id, h (a hash of the text), fp (a hash of the set of shingles), n (its size), sketch, keys (none of a set of fewer than two, which has no near copies)."""
+    """doc_id, h (a hash of the text), fp (a hash of the set of shingles), n (its size), print (its fingerprint), sketch, keys (none of a set of fewer than two, which has no near copies)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         constants = _constants(seed)
         for batch in batches:
-            fps, sizes, sketches, keys = [], [], [], []
+            fps, sizes, prints, sketches, keys = [], [], [], [], []
             for t in texts_of(batch):
                 of = np.unique(shingles(t, words, seed))
                 fps.append(xxh64_intdigest(of.tobytes(), seed))
                 sizes.append(len(of))
+                prints.append(simhash(of))
                 sketches.append(sketch(of))
                 keys.append(band_keys(of, constants) if len(of) > 1 else [])
-            arrays = [pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in (sketches, keys))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], ["doc_id", "h", "fp", "n", "sketch", "keys"])
+            arrays = [pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(np.array(prints, np.uint64).view(np.int64)), *(pa.array(x, pa.list_(pa.int64())) for x in (sketches, keys))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], ["doc_id", "h", "fp", "n", "print", "sketch", "keys"])
 
-    return map_arrow(docs.select("doc_id", F.xxhash64("text").alias("h"), F.col("text").cast("binary").alias("text")), run, "doc_id long, h long, fp long, n long, sketch array<long>, keys array<long>")
+    return map_arrow(docs.select("doc_id", F.xxhash64("text").alias("h"), F.col("text").cast("binary").alias("text")), run, "doc_id long, h long, fp long, n long, print long, sketch array<long>, keys array<long>")
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, words: int, seed: int) -> DataFrame:
@@ -91,6 +96,14 @@ def _sets(docs: DataFrame, nodes: DataFrame, words: int, seed: int) -> DataFrame
     return map_arrow(texts.select("fp", "text"), run, "fp long, shingles array<long>")
 
 
+def signatures(nodes: DataFrame, bits: int = SIGNATURE_BITS) -> DataFrame:
+    """fp, key: the deletion-variant signatures of ``nodes`` (fp, n, print), of those that fingerprints within ``bits`` can share; none of a set of fewer than two."""
+    keyed = nodes.where("n > 1").select("fp", "print", F.explode(variants(F.col("print"), bits)).alias("key"))
+    met = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("print").alias("lo"), F.max("print").alias("hi"))
+    met = met.where((F.col("n") > 2) | ((F.col("n") == 2) & near(F.col("lo"), F.col("hi"), bits))).select("key")
+    return keyed.select("fp", "key").join(met, "key").select("fp", "key")
+
+
 def rarest(sets: DataFrame, least: float) -> DataFrame:
     """fp, key: of each set of ``sets`` (fp, shingles), its rarest shingles, so many that sets of similarity ``least`` or more share one.
 
@@ -114,10 +127,10 @@ def rarest(sets: DataFrame, least: float) -> DataFrame:
 def similar(docs: DataFrame, words: int = 5, least: float = 0.8, seed: int = 42) -> DataFrame:
     """doc_id, h, fp, class of every row of ``docs`` (doc_id, text): classes under links of Jaccard similarity ``least`` or more."""
     prints = stash(prints_of(docs, words, seed), "shingle-prints")
-    nodes = stash(prints.groupBy("fp").agg(F.min("h").alias("h"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys")), "shingle-nodes")
+    nodes = stash(prints.groupBy("fp").agg(F.min("h").alias("h"), F.first("n").alias("n"), F.first("print").alias("print"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys")), "shingle-nodes")
     keyed = nodes.select("fp", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    keyed = stash(keyed.join(shared, "key"), "shingle-keys")
+    keyed = stash(keyed.join(shared, "key").select("fp", "key").unionByName(signatures(nodes)), "shingle-keys")
     allowed = PAIRS * keyed.count()
     sets = stash(_sets(docs, nodes.select("fp", "h").join(keyed.select("fp").distinct(), "fp"), words, seed), "shingle-sets")
     roots = stash(nodes.select("fp", F.col("fp").alias("root")), "shingle-classes")

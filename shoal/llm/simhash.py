@@ -53,7 +53,11 @@ def shingles(text: bytes, words: int = 4, seed: int = 42) -> np.ndarray:
 
 def fingerprint(text: bytes, words: int = 4, seed: int = 42) -> int:
     """Unsigned SimHash of the text's word shingles, repeats included."""
-    hashes = shingles(text, words, seed)
+    return simhash(shingles(text, words, seed))
+
+
+def simhash(hashes: np.ndarray) -> int:
+    """Unsigned: a bit is 1 if set in over half the hashes; none: 0."""
     n = len(hashes)
     if not n:
         return 0

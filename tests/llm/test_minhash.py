@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from shoal.llm import minhash
+from shoal.llm import minhash, simhash
 
 
 def shingles(text, words=5):
@@ -56,6 +56,17 @@ def test_classes_against_brute_force(documents, rows, monkeypatch, pairs):
     assert sorted(r["doc_id"] for r in minhash.drop_similar(documents(*rows)).collect()) == want
 
 
+def test_signatures_find_the_pairs_of_near_fingerprints(spark, documents, rows, monkeypatch):
+    """Without the keys of minima, what links is within the signatures' bits, and all of that is linked."""
+    monkeypatch.setattr(minhash, "band_keys", lambda of, constants: [])
+    sets = [shingles(t) for _, t in rows]
+    prints = [simhash.simhash(np.unique(simhash.shingles(t.encode(), 5, 42))) for _, t in rows]
+    near = {(a, b) for a in range(len(rows)) for b in range(a) if 1 < len(sets[a]) and (prints[a] ^ prints[b]).bit_count() <= 4 and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    of = {r["doc_id"]: r["class"] for r in minhash.similar(documents(*rows)).collect()}
+    assert any(sets[a] != sets[b] for a, b in near)
+    assert all(of[rows[a][0]] == of[rows[b][0]] for a, b in near)
+
+
 def test_stage_of_the_pipeline_drops_near_copies(spark, documents, rows):
     kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, documents(*rows), "").collect()}
     assert kept == set(brute(rows))
