@@ -1,27 +1,28 @@
 """Language-model scoring by prediction by partial matching (PPM), beside a unigram base.
 
-The model is a trie over all 256 bytes and a word's end, pretrained on the documents that aren't held out. The context of a symbol is
-everything back to its word's beginning, however long, and no more; the text's end is an empty word. So the trie has a
-node for every beginning of every training word, and grows with the corpus: it is never in one place, but computed in ranges of sorted words.
+The model is a trie over all 256 bytes and a text's end, pretrained on the documents that aren't held out, with contexts of up to five symbols that run on across words
+and an escape from each to the next shorter one, down to none (``contexts.py``). A document's score is the sum of its paths' scores: of the most
+frequent paths by a broadcast of HOT_PATHS paths, of the others by a join.
+
+The base gives a token log10((c + 0.5) / (N + 0.5 (V + 1))); words' counts come to documents in the same way, by a broadcast of HOT_WORDS words of at most HOT_BYTES
+bytes and a join.
 
+Given ``range_words``, documents are scored by the other model of this module instead, words by themselves (no query uses it). Its contexts are
+everything back to a word's beginning, however long, and no more; the text's end is an empty word. So the trie has a
+node for every beginning of every training word, and grows with the corpus: it is never in one place, but computed in ranges of sorted words.
 In a context with n symbols seen, q of them distinct, a seen symbol has probability c / (n + q), and escape q / (n + q)
 (method C). Escape is to the context of the last two symbols, then of one and of none, with counts of all training words, and last to equal shares.
 After an escape, the symbols of the longer context are excluded from the shorter one. A context that was never seen is passed by.
-
 The short contexts have 257**3 symbols at most, whatever the corpus: a proven bound, so their code lengths are one table (34 MB) that may
 be broadcast. The code length of a word depends on the word alone, so each distinct word is scored once:
 
 1. Words are counted, of all documents: in training (n) and in all (m).
-2. They are range-partitioned and sorted, so that the words below a node stand together; ranges have about RANGE_WORDS words. Only beginnings of a range's
+2. They are range-partitioned and sorted, so that the words below a node stand together; ranges have about ``range_words`` words. Only beginnings of a range's
    first and last word may have words in other ranges: their counts are summed over the ranges by key.
 3. Each range is scored on its own, with the sums for those nodes.
-4. Documents get the sums of their words' code lengths and base scores: of the most frequent words by a broadcast of HOT_WORDS words of at most
-   HOT_BYTES bytes, of the others by a join.
-
-The base gives a token log10((c + 0.5) / (N + 0.5 (V + 1))).
 
 Defined cases: null text is empty (an end only); a null doc_id counts as training; repeated rows count and are scored each; with no
-training text every token has c = 0 and symbols have equal shares; words of any length are whole contexts, texts of any length are one sum; words
+training text every token has c = 0 and symbols have equal shares; texts of any length are whole and one sum; words and paths
 that tie in frequency are scored alike wherever their counts are looked up; extra columns are not read; an empty table gives an empty result.
 """
 
@@ -36,7 +37,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64
 
-from shoal.llm.common import map_arrow, slices, stash, texts_of
+from shoal.llm.common import fresh_path, kept, map_arrow, slices, stash, texts_of
+from shoal.llm.contexts import Lookup, count_paths, paths_of, score_paths
 
 #: Bytes and a word's end, which also stands for what is before a word.
 SYMBOLS, END = 257, 256
@@ -44,6 +46,8 @@ SYMBOLS, END = 257, 256
 RANGE_WORDS = 200_000
 #: Words in the broadcast part of the vocabulary, and bytes of a word there, at most.
 HOT_WORDS, HOT_BYTES = 1 << 17, 64
+#: Paths in the broadcast part of the trie, at most.
+HOT_PATHS = 1 << 20
 #: Bytes of text that a scorer or counter works on at once.
 SLICE = 2 << 20
 #: Bytes of text whose words are counted together before they are sent.
@@ -350,21 +354,23 @@ def _whole(column: pa.ChunkedArray) -> pa.Array:
     return out.chunk(0) if isinstance(out, pa.ChunkedArray) else out
 
 
-def score_documents(docs: DataFrame, range_words: int = RANGE_WORDS) -> DataFrame:
+def least_count(counted: DataFrame, most: int) -> int | None:
+    """The least count m for which no more than ``most`` rows have so many or more; None if there is none."""
+    groups = counted.groupBy("m").count().orderBy(F.desc("m")).limit(most).toArrow()
+    fit = int(np.searchsorted(np.cumsum(groups["count"].to_numpy()), most, "right"))
+    return groups["m"][fit - 1].as_py() if fit else None
+
+
+def score_documents(docs: DataFrame, range_words: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs`` (doc_id, text)."""
-    spark = docs.sparkSession
+    spark, by_paths = docs.sparkSession, range_words is None
     counted = stash(count_words(docs), "ppm-counts")
     train, vocabulary = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum((F.col("n") > 0).cast("long")), F.lit(0))).first()
-    words = stash(score_words(counted, range_words).withColumn("base", F.log10(F.col("n") + F.lit(0.5))), "ppm-words")
+    words = counted.withColumn("score", F.lit(0.0)) if by_paths else stash(score_words(counted, range_words), "ppm-words")
+    words = words.withColumn("base", F.log10(F.col("n") + F.lit(0.5)))
 
-    # the least count at which words still fit the broadcast part
     short = (F.octet_length("word") <= HOT_BYTES) & (F.octet_length("word") > 0)
-    floor, held = None, 0
-    for r in words.where(short).groupBy("m").count().orderBy(F.desc("m")).limit(HOT_WORDS).toLocalIterator():
-        held += r["count"]
-        if held > HOT_WORDS:
-            break
-        floor = r["m"]
+    floor = least_count(words.where(short), HOT_WORDS)
     is_hot = F.lit(False) if floor is None else short & (F.col("m") >= floor)
     hot = words.where(is_hot).select(F.col("word").cast("string").alias("word"), "n", "base", "score").toArrow()
     numbers = np.zeros((3, hot.num_rows + 1))  # the last: words that aren't there
@@ -374,8 +380,17 @@ def score_documents(docs: DataFrame, range_words: int = RANGE_WORDS) -> DataFram
     end = words.where(F.octet_length("word") == 0).select("n", "base", "score").first() or {"n": 0, "base": 0.0, "score": 0.0}
     per_token = float(np.log10(train + 0.5 * (vocabulary + 1)))
 
+    if by_paths:
+        paths = stash(score_paths(stash(count_paths(docs, held_out(docs["doc_id"])), "ppm-paths")), "ppm-path-scores")
+        floor = least_count(paths, HOT_PATHS)
+        is_frequent = F.lit(False) if floor is None else F.col("m") >= floor
+        frequent = paths.where(is_frequent).select("path", "score").toArrow()
+        trie = spark.sparkContext.broadcast((frequent["path"].to_numpy(), frequent["score"].to_numpy()))
+        model = fresh_path(spark, "ppm-trie")  # a name that no other run has
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot_words, base, score, known = shipped.value
+        lookup = kept(model, lambda: Lookup(*trie.value)) if by_paths else None
         for batch in batches:
             texts = texts_of(batch)
             for lo, hi in slices(texts, SLICE):
@@ -384,27 +399,40 @@ def score_documents(docs: DataFrame, range_words: int = RANGE_WORDS) -> DataFram
                 place = pc.index_in(words.dictionary.cast(pa.string()), hot_words).fill_null(-1).to_numpy()[words.indices.to_numpy()]
                 cold = np.flatnonzero(place < 0)
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *np.bincount(of_text[cold], minlength=hi - lo)]), pa.int32()), words.take(pa.array(cold)).dictionary_decode().cast(pa.string()))
-                sums = [pa.array(np.bincount(of_text, x[place], hi - lo)) for x in (known, base, score)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(sizes.astype(np.int64)), *sums, lists], ["doc_id", "held_out", "n_words", "n_hot", "hot_base", "hot_score", "cold"])
+                sums = [np.bincount(of_text, x[place], hi - lo) for x in (known, base, score)]
+                rare, of_rare = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                for path, of_path in paths_of(texts[lo:hi]) if by_paths else ():
+                    found, missing = lookup(path)
+                    sums[2] += np.bincount(of_path, found, hi - lo)
+                    rare.append(path[missing])
+                    of_rare.append(of_path[missing])
+                rare_lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *np.bincount(np.concatenate(of_rare), minlength=hi - lo)]), pa.int32()), pa.array(np.concatenate(rare)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(sizes.astype(np.int64)), *map(pa.array, sums), lists, rare_lists], ["doc_id", "held_out", "n_words", "n_hot", "hot_base", "hot_score", "cold", "rare"])
             pa.default_memory_pool().release_unused()
 
     rows = docs.select("doc_id", held_out(docs["doc_id"]).alias("held_out"), docs["text"].cast("binary").alias("text"))
-    rows = map_arrow(rows, run, "doc_id long, held_out boolean, n_words long, n_hot double, hot_base double, hot_score double, cold array<string>")
+    rows = map_arrow(rows, run, "doc_id long, held_out boolean, n_words long, n_hot double, hot_base double, hot_score double, cold array<string>, rare array<long>")
     rows = stash(rows.withColumn("row", F.monotonically_increasing_id()), "ppm-scores")  # row numbers hold once they are written
-    rare = words.where(~is_hot).select(F.col("word").cast("string").alias("word"), "n", "base", "score")
+    others = words.where(~is_hot).select(F.col("word").cast("string").alias("word"), "n", "base", "score")
     cold = rows.select("row", F.explode("cold").alias("word")).groupBy("word", "row").agg(F.count("*").alias("times"))
-    cold = cold.join(rare, "word").groupBy("row").agg(
+    cold = cold.join(others, "word").groupBy("row").agg(
         F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("n_cold"),
         F.sum(F.col("times") * F.col("base")).alias("cold_base"),
         F.sum(F.col("times") * F.col("score")).alias("cold_score"),
     )
+    out = rows.drop("cold", "rare").join(cold, "row", "left")
     n_tokens, none = F.col("n_words") + 1, F.lit(0.0)
-    return rows.drop("cold").join(cold, "row", "left").select(
+    score = F.col("hot_score") + F.coalesce("cold_score", none) + F.lit(end["score"])
+    if by_paths:
+        rare = rows.select("row", F.explode("rare").alias("path")).groupBy("path", "row").agg(F.count("*").alias("times"))
+        rare = rare.join(paths.where(~is_frequent), "path").groupBy("row").agg(F.sum(F.col("times") * F.col("score")).alias("rare_score"))
+        out, score = out.join(rare, "row", "left"), score + F.coalesce("rare_score", none)
+    return out.select(
         "doc_id",
         "held_out",
         n_tokens.alias("n_tokens"),
         (F.col("n_hot") + F.coalesce("n_cold", F.lit(0)) + int(end["n"] > 0)).cast("long").alias("n_known"),
         F.lit(int(train)).cast("long").alias("train_tokens"),
         (F.col("hot_base") + F.coalesce("cold_base", none) + F.lit(end["base"]) - n_tokens * F.lit(per_token)).alias("base_score"),
-        (F.col("hot_score") + F.coalesce("cold_score", none) + F.lit(end["score"])).alias("score"),
+        score.alias("score"),
     )
